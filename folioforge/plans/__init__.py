@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list[str] = []
+FAMILIES: list[str] = ["records"]
 
 
 def _families() -> list:
