@@ -8,16 +8,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.sources.tables import table
 
+from .chunking import oversized_ids, search_chunks
+from .scanned import repair_scans, scan_noise
 from .similar import similar_pairs
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized_ids(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_chunks(table(spark, sf_dir, "ingest_chunks_stage"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "ingest_embeddings_stage"), "id", "embedding_text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_scans(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
+}
+
+_WHITE = r"\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+SQL = {
+    "p1_found": f"SELECT DISTINCT id FROM ingest_chunks_stage WHERE id IS NOT NULL AND len(regexp_extract_all(text, '[^{_WHITE}]+')) > 220",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
