@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.sources.tables import table
 
 from .chunking import oversized_ids, search_chunks
+from .offensive import found_categories, score_documents, source_rates
 from .scanned import repair_scans, scan_noise
 from .similar import similar_pairs
 
@@ -33,12 +34,31 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_scans(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_categories(_scored(spark, sf_dir))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_rates(_scored(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
 }
 
 _WHITE = r"\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

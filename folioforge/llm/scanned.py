@@ -24,7 +24,7 @@ from folioforge.session import cut
 
 # Pairs (printed, seen) that recognition of print is known to confuse.
 CONFUSED = [
-    ("e", "c"), ("c", "e"), ("t", "l"), ("l", "t"), ("a", "o"), ("o", "a"), ("o", "0"), ("n", "u"), ("u", "n"), ("s", "5"), ("l", "1"), ("i", "1"),
+    ("e", "c"), ("c", "e"), ("t", "l"), ("l", "t"), ("a", "o"), ("o", "a"), ("o", "0"), ("n", "u"), ("u", "n"), ("s", "5"), ("l", "1"), ("i", "1"), ("i", "!"), ("l", "!"), ("l", "|"), ("i", "|"),
     ("l", "I"), ("I", "l"), ("i", "l"), ("l", "i"), ("g", "q"), ("q", "g"), ("h", "b"), ("b", "h"), ("y", "v"), ("v", "y"), ("f", "t"), ("t", "f"),
     ("b", "6"), ("g", "9"), ("B", "8"), ("S", "5"), ("O", "0"), ("I", "1"), ("Z", "2"), ("E", "F"), ("F", "E"), ("R", "K"), ("C", "G"), ("G", "C"),
     ("M", "N"), ("O", "Q"), ("D", "O"), ("P", "F"), ("d", "cl"), ("cl", "d"), ("m", "rn"), ("rn", "m"), ("w", "vv"), ("u", "ii"), ("in", "m"),
@@ -35,7 +35,7 @@ _STRAY = re.compile(r"(?<!\S)[_~^°»«•■□▪|\\¦¤`´¨]+(?!\S)")
 _BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)([{_HYPHENS}])(?:[ \t]*\n[ \t]*|[ \t]+)([^\W\d_]+)")
 _SOFT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([‐­¬])()([^\W\d_]+)")
 _COMPOUND = re.compile(r"(?<![\w-])([^\W\d_]+)-([^\W\d_]+)(?![\w-])")
-_TOKEN = re.compile(r"\w+")
+_TOKEN = re.compile(r"(?:\w|[!|¡](?=[a-z]))+")
 _DIGIT = "0-9lIOoSBZ"
 _NUM = rf"(?=[^\s]*[0-9])[{_DIGIT}]{{1,4}}"
 _ALONE = re.compile(rf"(?:p(?:age|\.|g\.)\s*)?{_NUM}(?:\s+[o0]f\s+{_NUM})?|([-—–~.])\s*{_NUM}\s*\1|\[\s+{_NUM}\s+\]|\(\s+{_NUM}\s+\)", re.I)
@@ -70,7 +70,7 @@ _LINE_HYPHEN = re.compile(rf"[{_HYPHENS}]\s")
 _SIGN = re.compile(r"[‐­¬]")
 _PAGE_SIGN = re.compile(r"(?:[-—–[.]|[Pp]age|p\.)\s[0-9lIOoSBZ]")
 _PLAIN = re.compile(r"(?<!\S)([^\W\d_]+[,;]?)\s(\d{1,3})\s([^\W\d_]+)(?=[\s,;.])")
-_LEGIT = re.compile(r"\d+(?:st|nd|rd|th|s)?|\d{1,4}[A-HJ-NP-RT-Y]{1,2}|[A-HJ-NP-RT-Y]{1,3}\d{1,2}|\d+[a-hj-km-np-ry-z]|[ivxlc]+", re.S)
+_LEGIT = re.compile(r"\d+(?:st|nd|rd|th|s)?|\d{1,4}[A-HJ-NP-RT-Y]{1,2}|[A-HJ-NP-RT-Y]{1,3}\d{1,2}|\d+[ac-fhj-km-npr]|[ivxlc]+", re.S)
 
 
 def _line_kind(line: str) -> tuple[bool, bool]:
@@ -161,6 +161,8 @@ _SLOTS = re.compile("\x00(\\d+)\x00")
 
 def _mixed(token: str) -> bool:
     """Letters and digits together as no printed word or number has them."""
+    if "!" in token or "|" in token or "¡" in token:
+        return any(c.isalpha() for c in token)
     return not token.isalpha() and not token.isdigit() and "_" not in token and not _LEGIT.fullmatch(token)
 
 
@@ -204,14 +206,14 @@ def misread_forms(forms: DataFrame, ratio: int = 12, least: int = 12, split_rati
     """(form, fixed): forms that are another, ``ratio`` times as frequent form but for one confusable pair,
     or two frequent forms without the space between them. The most frequent candidate wins, then the first in order."""
     spark = forms.sparkSession
-    words = forms.where(F.col("form").rlike(r"^[A-Za-z0-9]{2,40}$") & F.col("form").rlike("[A-Za-z]"))
+    words = forms.where(F.col("form").rlike(r"^[A-Za-z0-9!|]{1,40}$") & F.col("form").rlike("[A-Za-z]"))
     clean = words.where((F.col("n") >= least) & F.col("form").rlike("^[A-Za-z]+$"))
     titled = clean.where(F.col("form").rlike("^[a-z]")).select(F.initcap("form").alias("form"), "n")
     frequent = clean.unionByName(titled).groupBy("form").agg(F.max("n").alias("n"))
     goods = frequent.select(F.col("form").alias("good"), F.col("n").alias("good_n"), _anagram(F.col("form")).alias("h"))
     code = lambda s: sum(ord(c) ** 5 for c in s)
     pairs = spark.createDataFrame([(a, b, code(a) - code(b)) for a, b in CONFUSED], "printed string, seen string, d long")
-    rare = words.select("form", "n", _anagram(F.col("form")).alias("own"))
+    rare = words.where(F.length("form") > 1).select("form", "n", _anagram(F.col("form")).alias("own"))
     shifted = rare.crossJoin(F.broadcast(pairs)).where(F.instr("form", F.col("seen")) > 0).withColumn("h", F.col("own") + F.col("d"))  # len(CONFUSED) rows a form at most
     need = F.when(F.length("form") <= 3, 10 * ratio).otherwise(ratio)
     met = shifted.join(goods, "h").where(F.col("good_n") >= need * F.col("n"))
@@ -222,8 +224,10 @@ def misread_forms(forms: DataFrame, ratio: int = 12, least: int = 12, split_rati
         & (F.concat(F.substr("good", F.lit(1), i - 1), F.col("seen"), F.substr("good", i + F.length("printed"))) == F.col("form")),
     )
     swaps = met.where(same).select("form", F.col("good").alias("fixed"), "good_n")
-    cuts = rare.where(F.col("form").rlike("^[A-Za-z]{4,}$")).select("form", "n", F.explode(F.sequence(F.lit(2), F.length("form") - 2)).alias("i"))
+    cuts = rare.where(F.col("form").rlike("^[A-Za-z]{4,}$")).select("form", "n", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("i"))
     halves = cuts.select("form", "n", F.substr("form", F.lit(1), F.col("i")).alias("a"), F.substr("form", F.col("i") + 1).alias("b"))
+    # a word of one letter is the article only
+    halves = halves.where(((F.length("a") > 1) | F.col("a").isin("a", "A")) & ((F.length("b") > 1) | (F.col("b") == "a")))
     left, right = frequent.select(F.col("form").alias("a"), F.col("n").alias("na")), frequent.select(F.col("form").alias("b"), F.col("n").alias("nb"))
     two = halves.join(left, "a").where(F.col("na") >= split_ratio * F.col("n")).join(right, "b").where(F.col("nb") >= split_ratio * F.col("n"))
     splits = two.select("form", F.concat_ws(" ", "a", "b").alias("fixed"), F.least("na", "nb").alias("good_n"))
