@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from folioforge.sources.tables import table
 
 from .chunking import oversized_ids, search_chunks
+from .mixing import mix_report, mix_sources
 from .offensive import found_categories, score_documents, source_rates
+from .packing import fill_rates, pack
 from .scanned import repair_scans, scan_noise
 from .similar import similar_pairs
+from .tokens import token_sizes
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,26 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_scans(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_rates(p6_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_mixed(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
@@ -56,6 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
+    "p6_packed": p6_packed,
+    "p6_fill_rates": p6_fill_rates,
+    "p7_selection": p7_selection,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_source_rates": p8_source_rates,
