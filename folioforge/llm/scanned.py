@@ -1,19 +1,17 @@
 """Noise in text from scanned pages: finding it and repairing it.
 
-A first pass takes every text apart (page furniture, divided words, running
-words) and counts word forms over all texts. The counts are a table, and SQL
-on it decides which rare forms are misread: a form's anagram hash plus the
-difference of a confusable pair must be the hash of a far more frequent form
+Word forms are counted over all texts, and SQL on the counts decides which
+rare forms are misread: a form's anagram hash plus the difference of a
+confusable pair must be the hash of a far more frequent form
 (``misread_forms``). The same counts decide whether a word divided at a line
-end is a compound (``divided_words``) and whether a bare number stands where
-numbers do not stand. A second pass sends each text's open questions, never
+end is a compound (``divided_words``). One pass takes every text apart (page
+furniture, divided words, running words) and sends its open questions, never
 the text, to those answers.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +32,6 @@ _HYPHENS = "-‐‑‒­¬"
 _STRAY = re.compile(r"(?<!\S)[_~^°»«•■□▪|\\¦¤`´¨]+(?!\S)")
 _BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)([{_HYPHENS}])(?:[ \t]*\n[ \t]*|[ \t]+)([^\W\d_]+)")
 _SOFT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([‐­¬])()([^\W\d_]+)")
-_COMPOUND = re.compile(r"(?<![\w-])([^\W\d_]+)-([^\W\d_]+)(?![\w-])")
 _TOKEN = re.compile(r"(?:\w|[!|¡](?=[a-z]))+")
 _DIGIT = "0-9lIOoSBZ"
 _NUM = rf"(?=[^\s]*[0-9])[{_DIGIT}]{{1,4}}"
@@ -69,7 +66,6 @@ _NEAR = [
 _LINE_HYPHEN = re.compile(rf"[{_HYPHENS}]\s")
 _SIGN = re.compile(r"[‐­¬]")
 _PAGE_SIGN = re.compile(r"(?:[-—–[.]|[Pp]age|p\.)\s[0-9lIOoSBZ]")
-_PLAIN = re.compile(r"(?<!\S)([^\W\d_]+[,;]?)\s(\d{1,3})\s([^\W\d_]+)(?=[\s,;.])")
 _LEGIT = re.compile(r"\d+(?:st|nd|rd|th|s)?|\d{1,4}[A-HJ-NP-RT-Y]{1,2}|[A-HJ-NP-RT-Y]{1,3}\d{1,2}|\d+[ac-fhj-km-npr]|[ivxlc]+", re.S)
 
 
@@ -78,18 +74,19 @@ def _line_kind(line: str) -> tuple[bool, bool]:
     s = line.strip()
     if not s or len(s) > 130:
         return False, False
-    if _ALONE.fullmatch(s) and not (s[-1] == "." and s[0] != "."):
+    if len(s) <= 24 and _ALONE.fullmatch(s) and not (s[-1] == "." and s[0] != "."):
         return False, True
-    page = False
-    if m := _SIDE.match(s):
-        rest = m["b"] or m["c"]
-        if _is_head(rest.strip()):
-            return True, True
-    return _is_head(s), page
+    if "  " in s and (m := _SIDE.match(s)) and _is_head((m["b"] or m["c"]).strip()):
+        return True, True
+    return _is_head(s), False
 
 
 def _is_head(s: str) -> bool:
-    return bool(_HEAD_CAPS.match(s) or _HEAD_REPORT.match(s) or _HEAD_CASE.match(s) or _HEAD_JUDGE.match(s))
+    if s[-1] == ")" and _HEAD_JUDGE.match(s):
+        return True
+    if s[1:2].islower() and s[1] != "l":  # heads of the other kinds begin in capitals
+        return False
+    return bool(_HEAD_CAPS.match(s) or _HEAD_REPORT.match(s) or _HEAD_CASE.match(s))
 
 
 def take_apart(text: str) -> tuple[set[str], str, list[tuple[str, str, str]]]:
@@ -171,29 +168,11 @@ def _plain(body: str) -> str:
 
 
 def _forms(texts: DataFrame) -> DataFrame:
-    """(form, n): word forms of the running text, ``a-b`` for compounds, ``a #`` and ``# b`` for words beside bare numbers."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["form", "n"])
-            n.clear()
-            return b
-
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                body = _plain(take_apart(t)[1])
-                n.update(_TOKEN.findall(body))
-                n.update(f"{x}-{y}".lower() for x, y in _COMPOUND.findall(body))
-                for x, _, y in _PLAIN.findall(body):
-                    n[f"{x.lower()} #"] += 1
-                    n[f"# {y.lower()}"] += 1
-            if len(n) > 200_000:
-                yield out()
-        yield out()
-
-    return texts.select("text").mapInArrow(count, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    """(form, n): counts of word forms, and of compounds written ``a-b`` within a line."""
+    words = F.regexp_extract_all("text", F.lit(r"(?:[\p{L}\p{N}_]|[!|¡](?=[a-z]))+"), F.lit(0))
+    joined = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))
+    forms = F.concat(words, F.when(F.contains("text", F.lit("-")), F.transform(joined, F.lower)).otherwise(F.array()))
+    return texts.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
 
 
 def _anagram(form: Column) -> Column:
@@ -249,8 +228,6 @@ def _asked(texts: DataFrame, common: frozenset[str]) -> DataFrame:
                     seen.add("misread")
                 open_ = [("misread", x) for x in tokens if not x.isdigit()]
                 open_ += [("hyphenation", f"{x}-{y}".lower() + ("" if h == "-" else "!")) for x, h, y in divided]
-                open_ += [("compound", f"{x}-{y}".lower()) for x, y in _COMPOUND.findall(plain)]
-                open_ += [("page_number", f"{x.lower()} # {y.lower()}") for x, _, y in _PLAIN.findall(plain)]
                 open_ = list(dict.fromkeys(open_))
                 keys += [key] * (len(seen) + len(open_))
                 kinds += sorted(seen) + [k for k, _ in open_]
@@ -261,33 +238,15 @@ def _asked(texts: DataFrame, common: frozenset[str]) -> DataFrame:
 
 
 def divided_words(asked: DataFrame, forms: DataFrame) -> DataFrame:
-    """(kind, ask, fixed) of words with a hyphen inside: divided if the whole word is more frequent than the compound.
-
-    At a line end a word of neither form counts as divided; inside a line the
-    whole word must be known and fifty times as frequent.
-    """
-    open_ = asked.where(F.col("kind").isin("hyphenation", "compound")).select("kind", "ask").distinct()
+    """(kind, ask, fixed) of the words with a hyphen at a line end, kept or lost, that are not compounds:
+    the whole word is more frequent than the compound, or neither is known."""
+    open_ = asked.where("kind = 'hyphenation' AND ask IS NOT NULL").select("kind", "ask").distinct()
     hyphened = F.rtrim(F.col("ask"), F.lit("!"))
     open_ = open_.select("kind", "ask", hyphened.alias("c"), F.replace(hyphened, F.lit("-"), F.lit("")).alias("w"))
     lower = forms.where(F.col("form").rlike(r"^[\p{L}-]+$")).groupBy(F.lower("form").alias("form")).agg(F.sum("n").alias("n"))
     one, two = lower.select(F.col("form").alias("w"), F.col("n").alias("nw")), lower.select(F.col("form").alias("c"), F.col("n").alias("nc"))
     met = open_.join(one, "w", "left").join(two, "c", "left").na.fill(0, ["nw", "nc"])
-    whole = F.when(F.col("kind") == "compound", (F.col("nw") > 50 * F.col("nc")) & (F.col("nc") > 0)).otherwise((F.col("nw") > F.col("nc")) | (F.col("nc") == 0))
-    return met.where(whole).select("kind", "ask", F.col("w").alias("fixed"))
-
-
-def odd_numbers(asked: DataFrame, forms: DataFrame, rate: float = 0.002, least: int = 30) -> DataFrame:
-    """(kind, ask, fixed) of bare numbers between two words that numbers hardly ever follow and precede."""
-    open_ = asked.where(F.col("kind") == "page_number").where("ask IS NOT NULL").select("kind", "ask").distinct()
-    open_ = open_.select("*", F.split("ask", " # ").alias("s")).select("kind", "ask", F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))
-    total = forms.where(F.col("form").rlike(r"^\p{L}+$")).groupBy(F.lower("form").alias("form")).agg(F.sum("n").alias("n"))
-    before = forms.where(F.col("form").endswith(" #")).select(F.regexp_replace("form", " #$", "").alias("a"), F.col("n").alias("a_num"))
-    after = forms.where(F.col("form").startswith("# ")).select(F.regexp_replace("form", "^# ", "").alias("b"), F.col("n").alias("b_num"))
-    met = open_.join(before, "a").join(after, "b")
-    met = met.join(total.select(F.col("form").alias("bare"), F.col("n").alias("a_n")), F.regexp_replace("a", "[,;]$", "") == F.col("bare")).drop("bare")
-    met = met.join(total.select(F.col("form").alias("b"), F.col("n").alias("b_n")), "b")
-    few = (F.col("a_num") <= rate * F.col("a_n")) & (F.col("b_num") <= rate * F.col("b_n")) & (F.col("a_n") >= least) & (F.col("b_n") >= least)
-    return met.where(few).select("kind", "ask", F.lit("").alias("fixed"))
+    return met.where((F.col("nw") > F.col("nc")) | (F.col("nc") == 0)).select("kind", "ask", F.col("w").alias("fixed"))
 
 
 def _answers(texts: DataFrame, common_forms: int) -> tuple[DataFrame, DataFrame]:
@@ -299,7 +258,7 @@ def _answers(texts: DataFrame, common_forms: int) -> tuple[DataFrame, DataFrame]
     common = frozenset(r.form for r in good.select("form").collect())
     asked = cut(_asked(texts, common))
     misread = bad.select(F.lit("misread").alias("kind"), F.col("form").alias("ask"), "fixed")
-    return asked, misread.unionByName(divided_words(asked, forms)).unionByName(odd_numbers(asked, forms))
+    return asked, misread.unionByName(divided_words(asked, forms))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -313,7 +272,7 @@ def scan_noise(df: DataFrame, id_col: str, text_col: str, common_forms: int = 30
     """
     asked, answers = _answers(_texts(df, id_col, text_col), common_forms)
     told = asked.where("ask IS NULL").select("key", "kind")
-    found = asked.where("ask IS NOT NULL").join(answers, ["kind", "ask"]).select("key", F.when(F.col("kind") == "compound", "hyphenation").otherwise(F.col("kind")).alias("kind"))
+    found = asked.where("ask IS NOT NULL").join(answers, ["kind", "ask"]).select("key", "kind")
     return told.unionByName(found).distinct().select(F.col("key").alias("id"), F.col("kind").alias("noise_kind"))
 
 
@@ -346,8 +305,6 @@ def repair(text: str, fixes: dict[tuple[str, str], str]) -> str:
         is_divided = ("hyphenation", f"{x}-{y}".lower() + ("" if h == "-" else "!")) in fixes
         return x + y if is_divided else f"{x}-{y}"
 
-    body = _PLAIN.sub(lambda m: f"{m[1]} {m[3]}" if ("page_number", f"{m[1].lower()} # {m[3].lower()}") in fixes else m[0], body)
-    body = _COMPOUND.sub(lambda m: m[1] + m[2] if ("compound", f"{m[1]}-{m[2]}".lower()) in fixes else m[0], body)
     body = _TOKEN.sub(lambda m: fixes.get(("misread", m[0]), m[0]), body)
     body = _SLOTS.sub(whole, body)
     paragraphs = re.split(r"\n[ \t]*\n\s*", body)
