@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list[str] = ["records", "search", "browse"]
+FAMILIES: list[str] = ["records", "search", "browse", "passages"]
 
 
 def _families() -> list:
