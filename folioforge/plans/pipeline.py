@@ -49,12 +49,19 @@ def merge_update_from(spark: SparkSession, d: str) -> DataFrame:
 
 
 @family.query("""
-WITH b AS (SELECT DISTINCT judgment_id, judge_id, seat FROM judgment_judges), n AS (SELECT judgment_id, judge_id + 1 judge_id, seat FROM b WHERE judge_id % 7 = 0 AND seat = 0)
-SELECT * FROM n UNION ALL SELECT * FROM b WHERE judgment_id NOT IN (SELECT judgment_id FROM n)""")
+WITH b AS (SELECT DISTINCT judgment_id, judge_id, seat FROM judgment_judges), c AS (SELECT judgment_id, count(*) k FROM b GROUP BY 1),
+w AS (SELECT c.judgment_id FROM c JOIN (SELECT DISTINCT id, bench_size FROM judgments) j ON j.id = c.judgment_id WHERE j.bench_size IS DISTINCT FROM c.k),
+n AS (SELECT judgment_id, judge_id, row_number() OVER (PARTITION BY judgment_id ORDER BY judge_id) - 1 seat FROM b WHERE judgment_id IN (SELECT judgment_id FROM w))
+SELECT judgment_id, judge_id, seat::INT seat FROM n UNION ALL SELECT * FROM b WHERE judgment_id NOT IN (SELECT judgment_id FROM n)""")
 def merge_replace_bridge(spark: SparkSession, d: str) -> DataFrame:
-    """Benches of a repair replace the old ones as a whole."""
+    """Benches of another size than recorded are seated anew as a whole, in order of judges."""
+    from pyspark.sql import Window
+
     b = table(spark, d, "judgment_judges").distinct()
-    fresh = b.where("judge_id % 7 = 0 AND seat = 0").select("judgment_id", (F.col("judge_id") + 1).alias("judge_id"), "seat")
+    j = table(spark, d, "judgments").select(F.col("id").alias("judgment_id"), "bench_size").distinct()
+    wrong = b.groupBy("judgment_id").agg(F.count("*").alias("k")).join(j, "judgment_id").where(~F.col("bench_size").eqNullSafe(F.col("k")))
+    seat = F.row_number().over(Window.partitionBy("judgment_id").orderBy("judge_id")) - 1
+    fresh = b.join(wrong, "judgment_id", "left_semi").select("judgment_id", "judge_id", seat.alias("seat"))
     return M.replace_groups(b, fresh, "judgment_id")
 
 
@@ -139,11 +146,11 @@ def judgment_violations(spark: SparkSession, d: str) -> DataFrame:
     return Q.violations(rows, "id", rules)
 
 
-@family.query("SELECT DISTINCT b.judgment_id, b.judge_id, b.seat FROM judgment_judges b WHERE NOT EXISTS (SELECT 1 FROM judges g WHERE g.id = b.judge_id + 20)")
-def bridge_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Seats whose judge has no record twenty numbers on: an anti-join on a computed key."""
-    b = table(spark, d, "judgment_judges").distinct().withColumn("k", F.col("judge_id") + 20)
-    return Q.missing_parents(b, "k", table(spark, d, "judges"), "id").select("judgment_id", "judge_id", "seat")
+@family.query("SELECT DISTINCT judge, chunk_id FROM chunks c WHERE judge IS NOT NULL AND NOT EXISTS (SELECT 1 FROM judges g WHERE g.name = c.judge)")
+def unknown_judges(spark: SparkSession, d: str) -> DataFrame:
+    """Served passages that name a judge without a record."""
+    c = table(spark, d, "chunks").select("judge", "chunk_id").distinct()
+    return Q.missing_parents(c, "judge", table(spark, d, "judges"), "name")
 
 
 @family.query("""
@@ -239,9 +246,9 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @family.query("""
-SELECT user_id, json_extract_string(props, '$.k')::INT k, count(*) n, max(value) - min(value) spread FROM events WHERE json_extract_string(props, '$.k')::INT BETWEEN 10 AND 20 GROUP BY 1, 2""")
+SELECT user_id, json_extract_string(props, '$.k')::INT k, count(*) n, max(value) - min(value) spread FROM events GROUP BY 1, 2""")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "value").where("k BETWEEN 10 AND 20")
+    e = table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "value")
     return e.groupBy("user_id", "k").agg(F.count("*").alias("n"), (F.max("value") - F.min("value")).alias("spread"))
 
 

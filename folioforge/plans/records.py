@@ -50,7 +50,7 @@ kinds AS (
 SQL = {
     "p4_found": rf"""
 WITH t AS (SELECT DISTINCT id, trim(available_languages, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) s FROM judgments WHERE available_languages IS NOT NULL AND id IS NOT NULL),
-u AS (SELECT id, CASE WHEN regexp_full_match(s, '(?s)\[[^\[\]]*\]|\{{[^{{}}]*\}}') THEN substr(s, 2, length(s) - 2) ELSE s END s FROM t),
+u AS (SELECT id, CASE WHEN regexp_full_match(s, '(?s)\[[^\[\]]*\]|\{{[^{{}}]*\}}') THEN substr(s, 2, length(s) - 2) ELSE s END s FROM t WHERE lower(s) NOT IN ('-', '--', 'n/a', 'na', 'n.a.', 'nil', 'none', 'null', 'unknown', '?')),
 m AS (SELECT id, s, regexp_replace(s, $q${_SPANS}$q$, 'Q', 'g') bare FROM u),
 w AS (SELECT id, CASE WHEN regexp_matches(bare, '[,;|/\n\r\t，、；｜／·•&＆]|(?i)(^|\s)(and|et|und|y)(\s|$)')
     THEN regexp_extract_all(regexp_replace(s, '(?i)\s(and|et|und|y)\s', '&', 'g'), $q$(?:{_SPANS}|[^,;|/\n\r\t，、；｜／·•&＆"'()]|["'()])+?(?:[,;|/\n\r\t，、；｜／·•&＆]|$)$q$)
