@@ -144,8 +144,9 @@ class Model:
         for v, w in pairs:
             shared[w] += 1
         total, size = sum(shared.values()), len(self.vocab) + 3
-        self.uni = {w: (k - 0.5) / (total + 1) + 0.5 * len(shared) / (total + 1) / size for w, k in shared.items()}
-        self.floor = 0.5 * max(len(shared), 1) / (total + 1) / size
+        rest = 0.5 * len(shared) / max(total, 1) / size if shared else 1.0 / size
+        self.uni = {w: (k - 0.5) / total + rest for w, k in shared.items()}
+        self.floor = rest
         mass = np.bincount(classes, weights=weight, minlength=n) + 1.0
         self.prior = tuple(np.log(mass / mass.sum()))
         self.memo = {}
