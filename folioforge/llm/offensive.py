@@ -270,7 +270,7 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int) -> list[tuple[s
     return [(r.text, r.label) for r in rows]
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, most_labelled: int = 8000, margin: float = 0.6) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, most_labelled: int = 8000, margin: float = 0.95) -> DataFrame:
     """Every document with its scores: doc_id, source, abuse, hate, sexual (best length-normalised log-likelihood
     ratio over its sentences), found array<string> (the categories it is held to have).
 

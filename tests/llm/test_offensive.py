@@ -43,10 +43,10 @@ def test_fit_and_judge():
     m = O.fit([(t, noisy) for t, noisy, _ in rows(1)])
     wrong = 0
     for t, _, label in rows(2):
-        got = {O.CLASSES[i] for i in m.judge(t, 0.6)[1]}
+        got = {O.CLASSES[i] for i in m.judge(t, 0.95)[1]}
         wrong += got != ({label} - {"none"})
     assert wrong <= 4
-    assert m.judge("You are a st*pid f00l and everyone knows it!!", 0.6)[1] == {0}
+    assert m.judge("You are a st*pid f00l and everyone knows it!!", 0.95)[1] == {0}
 
 
 def test_table(spark):
@@ -74,5 +74,5 @@ def test_held_out():
         WHERE label IN ('none', 'abuse', 'hate', 'sexual') AND text <> '' GROUP BY doc_id, text ORDER BY doc_id""").fetchall()
     model = O.fit(rows_[::2])
     # reviewers err: agreement is asked for, not equality
-    ok = [bool(model.judge(t, 0.6)[1]) == (lab != "none") for t, lab in rows_[1::2]]
+    ok = [bool(model.judge(t, 0.95)[1]) == (lab != "none") for t, lab in rows_[1::2]]
     assert sum(ok) / len(ok) >= 0.85
