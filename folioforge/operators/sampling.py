@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.merge import numbered_groups
+
 
 def stable_order(seed: str, *parts: Column) -> Column:
     """A hash that orders rows alike everywhere: sha256 of "seed:part:part"."""
@@ -22,5 +24,5 @@ def balanced_sample(df: DataFrame, stratum: str, severity: str, key: str, levels
 
 
 def round_robin(df: DataFrame, order: list[str], workers: int) -> DataFrame:
-    """Column ``worker`` from 0: rows dealt out in order."""
-    return df.withColumn("worker", (F.row_number().over(Window.orderBy(*order)) - 1) % workers)
+    """Column ``worker`` from 0: rows dealt out in order, numbered without one task seeing them all."""
+    return numbered_groups(df, [F.asc(c) for c in order], 1).withColumn("worker", F.col("group_no") % workers).drop("group_no")
