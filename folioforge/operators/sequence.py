@@ -24,9 +24,9 @@ def prefix_budget(df: DataFrame, group: list[str], order: list[Column], cost: Co
 def skipping_budget(df: DataFrame, group: str, item: str, cost: str, order: str, budget: int, most: int) -> DataFrame:
     """Newest first, at most ``most`` items, each taken if it still fits, later smaller ones too; (group, items in reading order).
 
-    A group's items are cut to the newest 4 * ``most`` before they are gathered, as no more can be looked at.
+    All items of a group are gathered and looked at: one that does not fit does not count towards ``most``, so
+    an old small item can still belong to the result.
     """
-    recent = first_rows(df, [group], [F.desc(order), F.desc(item)], 4 * most)
     rows = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).cast("string").alias("i"), F.col(cost).cast("long").alias("c")))))
     start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<string>").alias("a"))
 
@@ -34,7 +34,7 @@ def skipping_budget(df: DataFrame, group: str, item: str, cost: str, order: str,
         fits = (acc.s + x.c <= budget) & (F.size(acc.a) < most)
         return F.struct(F.when(fits, acc.s + x.c).otherwise(acc.s).alias("s"), F.when(fits, F.concat(F.array(x.i), acc.a)).otherwise(acc.a).alias("a"))
 
-    return recent.groupBy(group).agg(rows.alias("r")).select(group, F.aggregate("r", start, step, lambda a: a.a).alias("items"))
+    return df.groupBy(group).agg(rows.alias("r")).select(group, F.aggregate("r", start, step, lambda a: a.a).alias("items"))
 
 
 def islands(df: DataFrame, group: list[str], order: list[Column], same: Column) -> DataFrame:

@@ -168,6 +168,14 @@ def test_budgets(spark):
     assert W.prefix_budget(big, ["g"], [F.col("o")], F.col("c"), 50, keep_first=True).count() == 1
 
 
+def test_budget_looks_at_all_items(spark):
+    # 50 newest items that never fit, then small old ones
+    rows = [("a", i, 99 if i >= 10 else 2) for i in range(60)] + [("b", 1, 3)]
+    df = spark.createDataFrame(rows, "g string, o int, c int")
+    got = {r.g: r["items"] for r in W.skipping_budget(df, "g", "o", "c", "o", 70, 5).collect()}
+    assert got == {"a": ["5", "6", "7", "8", "9"], "b": ["1"]}
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "B"), (3, None)], "k int, v string")
