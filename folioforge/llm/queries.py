@@ -13,7 +13,7 @@ from .mixing import mix_report, mix_sources
 from .offensive import found_categories, score_documents, source_rates
 from .packing import fill_rates, pack
 from .scanned import repair_scans, scan_noise
-from .similar import similar_pairs
+from .similar import similar_pairs, similar_rows
 from .tokens import token_sizes
 
 
@@ -29,6 +29,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "ingest_embeddings_stage"), "id", "embedding_text")
 
 
+def p2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_rows(table(spark, sf_dir, "ingest_embeddings_stage"), "id", "embedding_text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
+    "p2_similar": p2_similar,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p6_packed": p6_packed,
