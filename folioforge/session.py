@@ -42,3 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that it outlives executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores: a table of few files would leave most of them idle.
+
+    Tables of many files stay as they are read.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
