@@ -34,11 +34,11 @@ def p2_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_noise(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
+    return scan_noise(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text", "judgment_id", "pdf_page")
 
 
 def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_scans(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text")
+    return repair_scans(table(spark, sf_dir, "ingest_chunks_stage"), "id", "text", "judgment_id", "pdf_page")
 
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

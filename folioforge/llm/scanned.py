@@ -1,8 +1,9 @@
 """Noise in text from scanned pages: finding it and repairing it.
 
-Word forms are counted over all texts, and SQL on the counts decides which
-rare forms are misread: a form's anagram hash plus the difference of a
-confusable pair must be the hash of a far more frequent form
+Running heads and page numbers are learned from the edge lines of all texts and
+removed (``furniture``). Word forms are counted over all texts, and SQL on the
+counts decides which rare forms are misread: a form's anagram hash plus the
+difference of a confusable pair must be the hash of a far more frequent form
 (``misread_forms``). The same counts decide whether a word divided at a line
 end is a compound (``divided_words``). One pass takes every text apart (page
 furniture, divided words, running words) and sends its open questions, never
@@ -18,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.session import cut
+from folioforge.session import cut, spread
+
+from .furniture import Heads, Remover, learn
 
 # Pairs (printed, seen) that recognition of print is known to confuse.
 CONFUSED = [
@@ -28,112 +31,27 @@ CONFUSED = [
     ("M", "N"), ("O", "Q"), ("D", "O"), ("P", "F"), ("d", "cl"), ("cl", "d"), ("m", "rn"), ("rn", "m"), ("w", "vv"), ("u", "ii"), ("in", "m"),
     ("ri", "n"), ("n", "ri"), ("h", "li"), ("li", "h"), ("nn", "m"), ("s", "8"), ("a", "u"), ("r", "i"), ("j", "i"), ("k", "lc"),
 ]
+# Letters that stand for digits, and these.
+LIKE_DIGITS = "lIiOoSsBbZgq"
+AS_DIGITS = "111005586299"
 _HYPHENS = "-‐‑‒­¬"
-_STRAY = re.compile(r"(?<!\S)[_~^°»«•■□▪|\\¦¤`´¨]+(?!\S)")
+# Signs that stand alone in no printed text but this often at most, in shares of all words.
+STRAY = "_~^°»«•■□▪|\\\\¦¤`´¨"
+_STRAY = re.compile(rf"(?<!\S)[{STRAY}]+(?!\S)")
 _BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)([{_HYPHENS}])(?:[ \t]*\n[ \t]*|[ \t]+)([^\W\d_]+)")
 _SOFT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([‐­¬])()([^\W\d_]+)")
 _TOKEN = re.compile(r"(?:\w|[!|¡](?=[a-z]))+")
-_DIGIT = "0-9lIOoSBZ"
-_NUM = rf"(?=[^\s]*[0-9])[{_DIGIT}]{{1,4}}"
-_ALONE = re.compile(rf"(?:p(?:age|\.|g\.)\s*)?{_NUM}(?:\s+[o0]f\s+{_NUM})?|([-—–~.])\s*{_NUM}\s*\1|\[\s+{_NUM}\s+\]|\(\s+{_NUM}\s+\)", re.I)
-_SIDE = re.compile(rf"^(?P<a>{_NUM})\s{{2,}}(?P<b>\S.*)$|^(?P<c>.*\S)\s{{2,}}(?P<d>{_NUM})$")
-_REPORT = rf"[\[(1lI][{_DIGIT}]{{4}}[\])1lI] [{_DIGIT}]{{1,3}} (?:[A-Z0-9]\. ?){{2,4}}"
-_CAPS = r"(?:[A-Z0-9&(][A-Z0-9l.,'&()-]*)"
-_VERSUS = r"(?:[Vv][.,]|[Vv][Ss5]\.?|[VvYy][EeFc][RrK][Ss5][Uu][Ss5])"
-_VERSUS_CAPS = r"(?:V[.,]|V[S5]\.?|V[EF][RK][S5]U[S5])"
-_HEAD_REPORT = re.compile(rf"^(?:{_REPORT}\s*(?:{_CAPS}\s*)*|(?:{_CAPS}\s+)+{_REPORT}\s*)$")
-_HEAD_CAPS = re.compile(rf"^(?=.*[A-Z]{{3}})(?:{_CAPS}\s+)+{_VERSUS_CAPS}(?:\s+{_CAPS})+$")
-_HEAD_CASE = re.compile(rf"^(?=.*[A-Z]{{3}})(?:{_CAPS}\s+)+N[O0]\.?\s+\S+\s+[O0]F\s+\S+$")
-_HEAD_JUDGE = re.compile(rf"^\S.*\s{_VERSUS}\s.*\(\S+, \S{{1,3}}\.?\)$")
-_WORD_CAPS = r"[A-Z0-9&(][A-Z0-9l.,'&()-]*"
-_IN_REPORT = re.compile(rf"(?:(?P<n1>{_NUM})\s{{2,}})?(?:(?:[A-Z0-9l]{{4,}}\s+){{2,4}}{_REPORT}|{_REPORT}\s{{2,}}(?:{_WORD_CAPS}\s+)*{_WORD_CAPS})(?:\s{{2,}}(?P<n2>{_NUM})(?!\S))?")
-_IN_CAPS = re.compile(
-    rf"(?<!\S)(?:(?P<n1>{_NUM})\s{{2,}})?(?:[A-Z0-9][A-Z0-9l&]+,?\s+(?:{_WORD_CAPS}\s+){{0,5}}?{_VERSUS_CAPS}\s+[A-Z0-9l]{{3,}},?(?:\s+(?:{_WORD_CAPS}))*"
-    rf"|(?:[A-Z0-9l]{{4,}}\s+){{1,4}}N[O0]\.\s+\S+\s+[O0]F\s+[{_DIGIT}]{{4}})(?:\s{{2,}}(?P<n2>{_NUM}))?(?!\S)"
-)
-_IN_JUDGE = re.compile(
-    rf"(?:(?P<n1>{_NUM})\s{{2,}})?(?:\(?[A-Z][\w'’.&)-]*,?\s+|[o0][ft]\s+|&\s+){{1,7}}{_VERSUS}\s+(?:\(?[A-Z][\w'’.&)-]*,?\s+|[o0][ft]\s+|&\s+){{1,7}}\([A-Z]\S+, \S{{1,3}}\.?\)(?:\s{{2,}}(?P<n2>{_NUM})(?!\S))?"
-)
-_IN_PAGE = re.compile(rf"(?<!\S)(?:([-—–])\s{_NUM}\s\1|\[\s{_NUM}\s\]|\.\s{_NUM}\s\.|[Pp]age\s{_NUM}\sof\s{_NUM}|p\.\s{_NUM})(?!\S)")
-_LAST_PAGE = re.compile(rf"(?<=[.;:,?!\"”)])\s+{_NUM}$")
-_FIRST_PAGE = re.compile(rf"{_NUM}(?=\s+[A-Z][a-z]|\s+[A-Z]\s)")
-# short signs by which the longer patterns are looked for in their neighbourhood only
-_NEAR = [
-    (re.compile(rf"{_REPORT}"), _IN_REPORT),
-    (re.compile(rf"\s(?:{_VERSUS_CAPS}\s+[A-Z0-9]|N[O0]\.\s+\S+\s+[O0]F\s)"), _IN_CAPS),
-    (re.compile(r"\([A-Z]\S+, \S{1,3}\.?\)"), _IN_JUDGE),
-]
 _LINE_HYPHEN = re.compile(rf"[{_HYPHENS}]\s")
 _SIGN = re.compile(r"[‐­¬]")
-_PAGE_SIGN = re.compile(r"(?:[-—–[.]|[Pp]age|p\.)\s[0-9lIOoSBZ]")
-_LEGIT = re.compile(r"\d+(?:st|nd|rd|th|s)?|\d{1,4}[A-HJ-NP-RT-Y]{1,2}|[A-HJ-NP-RT-Y]{1,3}\d{1,2}|\d+[ac-fhj-km-npr]|[ivxlc]+", re.S)
-
-
-def _line_kind(line: str) -> tuple[bool, bool]:
-    """Is a line a running head, does it hold a page number?"""
-    s = line.strip()
-    if not s or len(s) > 130:
-        return False, False
-    if len(s) <= 24 and _ALONE.fullmatch(s) and not (s[-1] == "." and s[0] != "."):
-        return False, True
-    if "  " in s and (m := _SIDE.match(s)) and _is_head((m["b"] or m["c"]).strip()):
-        return True, True
-    return _is_head(s), False
 
 
-def _is_head(s: str) -> bool:
-    if s[-1] == ")" and _HEAD_JUDGE.match(s):
-        return True
-    if s[1:2].islower() and s[1] != "l":  # heads of the other kinds begin in capitals
-        return False
-    return bool(_HEAD_CAPS.match(s) or _HEAD_REPORT.match(s) or _HEAD_CASE.match(s))
-
-
-def take_apart(text: str) -> tuple[set[str], str, list[tuple[str, str, str]]]:
-    """(kinds seen without the corpus, running text, divided words as (left, hyphen, right)).
+def take_apart(text: str, remover: Remover, doc: str | None = None, page: int | None = None, granted: frozenset = frozenset()) -> tuple[set[str], str, list[tuple[str, str, str]], list[tuple[str, str]]]:
+    """(kinds of furniture seen, running text, divided words as (left, hyphen, right), questions about the document's furniture).
 
     In the running text heads and page numbers are gone, line ends are kept,
     and each divided word is a slot ``\\x00<number>\\x00``.
     """
-    kinds: set[str] = set()
-    lines = []
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        head, page = _line_kind(line)
-        if head:
-            kinds.add("header")
-        if page:
-            kinds.add("page_number")
-        if not head and not page:
-            lines.append(line)
-    body = "\n".join(lines)
-
-    def head(m: re.Match) -> str:
-        kinds.add("header")
-        if m["n1"] or m["n2"]:
-            kinds.add("page_number")
-        return "\n"
-
-    def page(m: re.Match) -> str:
-        kinds.add("page_number")
-        return "\n"
-
-    for sign, whole in _NEAR:
-        at = 0
-        while m := sign.search(body, at):
-            a, b = max(0, m.start() - 150), min(len(body), m.end() + 120)
-            span = whole.search(body, a, b)
-            if span and span.end() > m.start():
-                body = body[: span.start()] + head(span) + body[span.end() :]
-                at = span.start()
-            else:
-                at = m.end()
-    body = body.strip()
-    if _PAGE_SIGN.search(body):
-        body = _IN_PAGE.sub(page, body)
-    if m := _LAST_PAGE.search(body, max(0, len(body) - 12)):
-        body = body[: m.start()] + page(m)
-    if m := _FIRST_PAGE.match(body):
-        body = page(m) + body[m.end() :]
+    kinds, body, asks = remover.strip(text, doc, page, granted)
     divided: list[tuple[str, str, str]] = []
 
     def slot(m: re.Match) -> str:
@@ -143,59 +61,68 @@ def take_apart(text: str) -> tuple[set[str], str, list[tuple[str, str, str]]]:
         divided.append((left, hyphen, right))
         return f"\x00{len(divided) - 1}\x00"
 
-    body = body.replace("\x00", " ")
+    body = body.strip().replace("\x00", " ")
     if _LINE_HYPHEN.search(body):
         body = _BROKEN.sub(slot, body)
     if _SIGN.search(body):
         body = _SOFT.sub(slot, body)
-    if _STRAY.search(body):
-        kinds.add("misread")
-    return kinds, body, divided
+    return kinds, body, divided, asks
 
 
 _SLOTS = re.compile("\x00(\\d+)\x00")
 
 
-def _mixed(token: str) -> bool:
-    """Letters and digits together as no printed word or number has them."""
-    if "!" in token or "|" in token or "¡" in token:
-        return any(c.isalpha() for c in token)
-    return not token.isalpha() and not token.isdigit() and "_" not in token and not _LEGIT.fullmatch(token)
-
-
 def _plain(body: str) -> str:
     return _SLOTS.sub(" ", body)
 
 
 def _forms(texts: DataFrame) -> DataFrame:
-    """(form, n): counts of word forms, and of compounds written ``a-b`` within a line."""
-    words = F.regexp_extract_all("text", F.lit(r"(?:[\p{L}\p{N}_]|[!|¡](?=[a-z]))+"), F.lit(0))
+    """(form, n): counts of word forms, of compounds written ``a-b`` within a line, and of signs that stand alone."""
+    words = F.regexp_extract_all("text", F.lit(rf"(?:[\p{{L}}\p{{N}}_]|[!|¡](?=[a-z]))+|(?<!\S)[{STRAY}]+(?!\S)"), F.lit(0))
     joined = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))
     forms = F.concat(words, F.when(F.contains("text", F.lit("-")), F.transform(joined, F.lower)).otherwise(F.array()))
     return texts.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
 
 
 def _anagram(form: Column) -> Column:
-    """Sum of the fifth powers of the signs' codes: equal for forms of the same signs in any order."""
-    fifth = lambda c: F.ascii(c).cast("long") * F.ascii(c) * F.ascii(c) * F.ascii(c) * F.ascii(c)
+    """Sum of the fifth powers of the signs' codes (below 4,093): equal for forms of the same signs in any order."""
+
+    def fifth(c: Column) -> Column:
+        x = F.pmod(F.ascii(c), F.lit(4093)).cast("long")
+        return x * x * x * x * x
+
     return F.aggregate(F.split(form, ""), F.lit(0).cast("long"), lambda a, c: a + fifth(c))
 
 
-def misread_forms(forms: DataFrame, ratio: int = 12, least: int = 12, split_ratio: int = 50) -> DataFrame:
+def misread_forms(forms: DataFrame, ratio: int = 12, least: int = 12, split_ratio: int = 50, stray_share: float = 0.001) -> DataFrame:
     """(form, fixed): forms that are another, ``ratio`` times as frequent form but for one confusable pair,
-    or two frequent forms without the space between them. The most frequent candidate wins, then the first in order."""
+    or two frequent forms without the space between them. The most frequent candidate wins, then the first in order.
+
+    No printed word has digits or bars among its letters, so such a form only
+    must be no more frequent than the clean one, and if its clean one is not
+    known either, its kind (letters and digits made one) must be rare beside
+    the clean kind. Numbers, rarely met twice, are compared by kind alone.
+    Signs that stand alone are misread nothings while they are rare.
+    """
     spark = forms.sparkSession
-    words = forms.where(F.col("form").rlike(r"^[A-Za-z0-9!|]{1,40}$") & F.col("form").rlike("[A-Za-z]"))
-    clean = words.where((F.col("n") >= least) & F.col("form").rlike("^[A-Za-z]+$"))
-    titled = clean.where(F.col("form").rlike("^[a-z]")).select(F.initcap("form").alias("form"), "n")
+    words = forms.where(F.col("form").rlike(r"^[\p{L}\p{N}!|¡]+$") & F.col("form").rlike(r"\p{L}"))
+    known = words.where((F.col("n") >= 2) & F.col("form").rlike(r"^\p{L}+$"))
+    clean = known.where(F.col("n") >= least)
+    titled = clean.where(F.col("form").rlike(r"^\p{Ll}")).select(F.initcap("form").alias("form"), "n")
     frequent = clean.unionByName(titled).groupBy("form").agg(F.max("n").alias("n"))
-    goods = frequent.select(F.col("form").alias("good"), F.col("n").alias("good_n"), _anagram(F.col("form")).alias("h"))
-    code = lambda s: sum(ord(c) ** 5 for c in s)
+    candidates = known.unionByName(titled).groupBy("form").agg(F.max("n").alias("n"))
+    goods = candidates.select(F.col("form").alias("good"), F.col("n").alias("good_n"), _anagram(F.col("form")).alias("h"))
+    code = lambda s: sum((ord(c) % 4093) ** 5 for c in s)
     pairs = spark.createDataFrame([(a, b, code(a) - code(b)) for a, b in CONFUSED], "printed string, seen string, d long")
-    rare = words.where(F.length("form") > 1).select("form", "n", _anagram(F.col("form")).alias("own"))
+    # what is as frequent as the commonest clean form allows is no rare form
+    top = frequent.agg(F.coalesce(F.max("n"), F.lit(0)).alias("top"))
+    mixed = F.col("form").rlike("[0-9!|¡]")
+    rare = words.where(F.length("form") > 1).select("form", "n", mixed.alias("mixed"), _anagram(F.col("form")).alias("own"))
+    rare = rare.crossJoin(F.broadcast(top)).where(F.col("mixed") | (F.col("n") * ratio <= F.col("top"))).drop("top")
     shifted = rare.crossJoin(F.broadcast(pairs)).where(F.instr("form", F.col("seen")) > 0).withColumn("h", F.col("own") + F.col("d"))  # len(CONFUSED) rows a form at most
     need = F.when(F.length("form") <= 3, 10 * ratio).otherwise(ratio)
-    met = shifted.join(goods, "h").where(F.col("good_n") >= need * F.col("n"))
+    beaten = (F.col("good_n") >= least) & (F.col("good_n") >= need * F.col("n"))
+    met = shifted.join(goods, "h").where(beaten | (F.col("mixed") & (F.length("form") > 3) & (F.col("good_n") >= F.col("n"))))
     at = F.sequence(F.lit(1), F.length("good"))
     same = F.exists(
         at,
@@ -203,38 +130,57 @@ def misread_forms(forms: DataFrame, ratio: int = 12, least: int = 12, split_rati
         & (F.concat(F.substr("good", F.lit(1), i - 1), F.col("seen"), F.substr("good", i + F.length("printed"))) == F.col("form")),
     )
     swaps = met.where(same).select("form", F.col("good").alias("fixed"), "good_n")
-    cuts = rare.where(F.col("form").rlike("^[A-Za-z]{4,}$")).select("form", "n", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("i"))
+    cuts = rare.where(F.col("form").rlike(r"^\p{L}{4,}$")).select("form", "n", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("i"))
     halves = cuts.select("form", "n", F.substr("form", F.lit(1), F.col("i")).alias("a"), F.substr("form", F.col("i") + 1).alias("b"))
     # a word of one letter is the article only
     halves = halves.where(((F.length("a") > 1) | F.col("a").isin("a", "A")) & ((F.length("b") > 1) | (F.col("b") == "a")))
     left, right = frequent.select(F.col("form").alias("a"), F.col("n").alias("na")), frequent.select(F.col("form").alias("b"), F.col("n").alias("nb"))
     two = halves.join(left, "a").where(F.col("na") >= split_ratio * F.col("n")).join(right, "b").where(F.col("nb") >= split_ratio * F.col("n"))
     splits = two.select("form", F.concat_ws(" ", "a", "b").alias("fixed"), F.least("na", "nb").alias("good_n"))
+    # kinds: letters are a, digits 0; a number's misread signs shift its hash by the sum of their differences
+    kind = F.regexp_replace(F.regexp_replace("form", r"\p{L}", "a"), "[0-9]", "0")
+    digits = forms.where(F.col("form").rlike(rf"^[0-9{LIKE_DIGITS}]*[0-9][0-9{LIKE_DIGITS}]*$")).select("form", "n", F.regexp_replace("form", "[0-9]", "0").alias("kind"))
+    digits = digits.where(~F.col("kind").rlike("^0+[Bs]$"))  # a last B numbers a section, a last s makes a decade
+    number = F.translate("kind", LIKE_DIGITS, "0" * len(LIKE_DIGITS))
+    by_kind = digits.groupBy("kind").agg(F.sum("n").alias("kn")).withColumn("h", _anagram(number))
+    whole = by_kind.where(F.col("kind").rlike("^0+$")).select("h", F.col("kn").alias("good_n"))
+    odd = by_kind.where(~F.col("kind").rlike("^0+$")).join(whole, "h").where(F.col("good_n") >= ratio * F.col("kn")).select("kind", "good_n")
+    numbers = digits.join(odd, "kind").select("form", F.translate("form", LIKE_DIGITS, AS_DIGITS).alias("fixed"), "good_n")
+    letters = F.length(F.regexp_replace("form", r"\P{L}", ""))
+    inner = words.where(mixed & (letters >= 3) & (F.length("form") - letters <= 2)).select("form", "n", kind.alias("kind"))
+    clean_kind = words.where(~mixed).groupBy(F.length("form").alias("l")).agg(F.sum("n").alias("good_n"))
+    by_inner = inner.groupBy("kind").agg(F.sum("n").alias("kn")).withColumn("l", F.length("kind"))
+    rare_kind = by_inner.join(clean_kind, "l").where(F.col("good_n") >= ratio * F.col("kn")).select("kind")
+    inner = inner.join(rare_kind, "kind").select("form", F.col("form").alias("fixed"), F.lit(0).cast("long").alias("good_n"))
+    all_n = forms.agg(F.sum("n").alias("all_n"))
+    signs = forms.where(F.col("form").rlike(rf"^[{STRAY}]+$")).crossJoin(F.broadcast(all_n)).where(F.col("n") <= stray_share * F.col("all_n"))
+    signs = signs.select("form", F.lit("").alias("fixed"), F.col("all_n").alias("good_n"))
     best = F.min(F.struct((-F.col("good_n")).alias("k"), F.col("fixed").alias("f")))
-    return swaps.unionByName(splits).groupBy("form").agg(best.alias("m")).select("form", F.col("m.f").alias("fixed"))
+    every = swaps.unionByName(splits).unionByName(numbers).unionByName(inner).unionByName(signs)
+    return every.groupBy("form").agg(best.alias("m")).select("form", F.col("m.f").alias("fixed"))
 
 
-def _asked(texts: DataFrame, common: frozenset[str]) -> DataFrame:
+def _asked(texts: DataFrame, common: frozenset[str], heads: Heads) -> DataFrame:
     """One row per open question of a text: (key, kind, ask): ``kind`` found already (ask null), or what must be asked."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remover = Remover(heads)
         for b in batches:
             keys, kinds, asks = [], [], []
-            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-                seen, body, divided = take_apart(t)
+            for key, doc, page, t in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "page", "text"))):
+                seen, body, divided, more = take_apart(t, remover, doc, page)
                 plain = _plain(body)
                 tokens = set(_TOKEN.findall(plain)) - common
-                if "misread" not in seen and any(_mixed(x) for x in tokens):
-                    seen.add("misread")
+                tokens.update(_STRAY.findall(plain))
                 open_ = [("misread", x) for x in tokens if not x.isdigit()]
                 open_ += [("hyphenation", f"{x}-{y}".lower() + ("" if h == "-" else "!")) for x, h, y in divided]
-                open_ = list(dict.fromkeys(open_))
+                open_ = list(dict.fromkeys(open_ + more))
                 keys += [key] * (len(seen) + len(open_))
                 kinds += sorted(seen) + [k for k, _ in open_]
                 asks += [None] * len(seen) + [a for _, a in open_]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(kinds, pa.string()), pa.array(asks, pa.string())], ["key", "kind", "ask"])
 
-    return texts.select("key", "text").mapInArrow(ask, "key string, kind string, ask string")
+    return texts.select("key", "doc", "page", "text").mapInArrow(ask, "key string, kind string, ask string")
 
 
 def divided_words(asked: DataFrame, forms: DataFrame) -> DataFrame:
@@ -249,56 +195,70 @@ def divided_words(asked: DataFrame, forms: DataFrame) -> DataFrame:
     return met.where((F.col("nw") > F.col("nc")) | (F.col("nc") == 0)).select("kind", "ask", F.col("w").alias("fixed"))
 
 
-def _answers(texts: DataFrame, common_forms: int) -> tuple[DataFrame, DataFrame]:
-    """(open questions of all texts, answers (kind, ask, fixed))."""
+def _answers(texts: DataFrame, common_forms: int) -> tuple[DataFrame, DataFrame, Heads]:
+    """(open questions of all texts, answers (kind, ask, fixed), heads)."""
+    heads, furniture = learn(texts, CONFUSED)
     forms = cut(_forms(texts))
     bad = cut(misread_forms(forms))
     good = forms.where(F.col("form").rlike("^[A-Za-z]+$")).join(bad, "form", "left_anti").orderBy(F.desc("n"), "form").limit(common_forms)
     # a bounded set that only spares questions: forms outside it are asked
     common = frozenset(r.form for r in good.select("form").collect())
-    asked = cut(_asked(texts, common))
+    asked = cut(_asked(texts, common, heads))
     misread = bad.select(F.lit("misread").alias("kind"), F.col("form").alias("ask"), "fixed")
-    return asked, misread.unionByName(divided_words(asked, forms))
+    # a document's print or offset is asked for a head and a number alike
+    told = furniture.select(F.explode(F.array(F.lit("header"), F.lit("page_number"))).alias("kind"), "ask", F.lit("").alias("fixed"))
+    return asked, misread.unionByName(divided_words(asked, forms)).unionByName(told), heads
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).where("key IS NOT NULL AND text <> ''")
+def _texts(df: DataFrame, id_col: str, text_col: str, doc_col: str | None, page_col: str | None) -> DataFrame:
+    """(key, doc, page, text) of the rows with an id and a text; a row without a document is one of its own."""
+    key = F.col(id_col).cast("string")
+    doc = F.coalesce(F.lower(F.trim(F.col(doc_col).cast("string"))), key) if doc_col else key
+    page = F.col(page_col).cast("int") if page_col else F.lit(None).cast("int")
+    return spread(df.select(key.alias("key"), doc.alias("doc"), page.alias("page"), F.col(text_col).cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL"))
 
 
-def scan_noise(df: DataFrame, id_col: str, text_col: str, common_forms: int = 30_000) -> DataFrame:
+def scan_noise(df: DataFrame, id_col: str, text_col: str, doc_col: str | None = None, page_col: str | None = None, common_forms: int = 30_000) -> DataFrame:
     """(id, noise_kind), distinct: what kinds of damage the texts of an id hold.
 
-    Null ids, null and empty texts give no row; rows of one id count together.
+    ``doc_col`` and ``page_col`` name the document and the page a text is of;
+    without them heads are learned from all texts together and numbers are not
+    compared with pages. Null ids, null and empty texts give no row; rows of
+    one id count together.
     """
-    asked, answers = _answers(_texts(df, id_col, text_col), common_forms)
+    asked, answers, _ = _answers(_texts(df, id_col, text_col, doc_col, page_col).where("text <> ''"), common_forms)
     told = asked.where("ask IS NULL").select("key", "kind")
     found = asked.where("ask IS NOT NULL").join(answers, ["kind", "ask"]).select("key", "kind")
     return told.unionByName(found).distinct().select(F.col("key").alias("id"), F.col("kind").alias("noise_kind"))
 
 
-def repair_scans(df: DataFrame, id_col: str, text_col: str, common_forms: int = 30_000) -> DataFrame:
+def repair_scans(df: DataFrame, id_col: str, text_col: str, doc_col: str | None = None, page_col: str | None = None, common_forms: int = 30_000) -> DataFrame:
     """(id, text): each text once per id as continuous paragraphs, without furniture, divided and misread words.
 
     Paragraphs stay apart at empty lines; other line ends become blanks. Null
     ids and null texts give no row; an empty text stays empty.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    rows = rows.dropDuplicates()
-    asked, answers = _answers(rows.where("text <> ''"), common_forms)
+    rows = _texts(df, id_col, text_col, doc_col, page_col)
+    asked, answers, heads = _answers(rows.where("text <> ''"), common_forms)
     fixes = asked.where("ask IS NOT NULL").join(answers, ["kind", "ask"]).groupBy("key").agg(F.collect_set(F.struct("kind", "ask", "fixed")).alias("fixes"))
+    # the texts move once: the rows of a key meet, are told apart by hash and find their fixes there
+    once = rows.withColumn("h", F.xxhash64("text")).repartition("key").dropDuplicates(["key", "h"])
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remover = Remover(heads)
         for b in batches:
-            done = [repair(t, {(f["kind"], f["ask"]): f["fixed"] for f in fx or []}) for t, fx in zip(b.column("text").to_pylist(), b.column("fixes").to_pylist())]
+            done = []
+            for doc, page, t, fx in zip(*(b.column(c).to_pylist() for c in ("doc", "page", "text", "fixes"))):
+                done.append(repair(t, {(f["kind"], f["ask"]): f["fixed"] for f in fx or []}, remover, doc, page))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(done, pa.string())], ["id", "text"])
 
-    return rows.join(fixes, "key", "left").select("key", "text", "fixes").mapInArrow(mend, "id string, text string")
+    return once.join(fixes, "key", "left").select("key", "doc", "page", "text", "fixes").mapInArrow(mend, "id string, text string")
 
 
-def repair(text: str, fixes: dict[tuple[str, str], str]) -> str:
+def repair(text: str, fixes: dict[tuple[str, str], str], remover: Remover, doc: str | None = None, page: int | None = None) -> str:
     """``text`` with its furniture gone and ``fixes`` (answers to its questions) applied."""
-    _, body, divided = take_apart(text)
-    body = _STRAY.sub("", body)
+    _, body, divided, _ = take_apart(text, remover, doc, page, frozenset(fixes))
+    body = _STRAY.sub(lambda m: fixes.get(("misread", m[0]), m[0]), body)
 
     def whole(m: re.Match) -> str:
         x, h, y = divided[int(m[1])]

@@ -1,42 +1,71 @@
 import pytest
 
 pytest.importorskip("folioforge.llm")
+from folioforge.llm import furniture as FU
 from folioforge.llm import scanned as S
 
 PLAIN = "The petition discloses no error apparent on the face of the record and the short-term tenant was examined as a witness at the hearing."
 
 
-def test_furniture():
+NAMES = ["ORVATH", "CALVIM", "ELGESH", "DUSKARD", "NESKUND", "PELLOVA", "BRASKIM", "ULMOST"]
+
+
+def book(at: int, head: str, page: str) -> str:
+    """A page of wrapped prose with a head and a page number in the middle of a sentence."""
+    return f"The plea of limitation was urged before the learned judge of the\ntrial court and was rejected by him on the evidence of the attesting\n{page}\n{head}\nwitness number {at}, who had seen the deed signed."
+
+
+def pages():
+    heads = [f"{NAMES[i % 8]} {NAMES[(i + 3) % 8]} VERSUS UNION OF {NAMES[(i + 5) % 8]}" for i in range(12)]
+    series = "THE NORTHERN LAW SERIES  [19{:02d}] {} N.L.S."
+    rows = [(f"d{i}", p, book(i, heads[i] if p % 2 else series.format(40 + i, i), f"- {100 * i + p} -")) for i in range(12) for p in (1, 2, 3, 4)]
+    return rows + [(f"d{i}", 9, "FACTS OF THE CASE\n\nThe tenant was examined as a witness at the hearing of the suit, and he\ndid not deny the signature on the deed.") for i in range(12)]
+
+
+def remover(spark, rows):
+    return FU.Remover(FU.learn(spark.createDataFrame(rows, "doc string, page int, text string"), S.CONFUSED)[0])
+
+
+def test_furniture(spark):
+    r = remover(spark, pages())
+    prose = "The petition discloses no error apparent on the face of the record\nand the tenant was examined as a witness at the hearing, although he\nhad not been named."
     for line, want in [
-        ("MERIDIA COURT REPORTS  [1983] 12 M.C.R.", {"header"}),
-        ("MERlDIA C0URT REPORTS  [1983] 12 M.C.R.    833", {"header", "page_number"}),
-        ("815   Collector, Marstow v. Korvek Ilmev (Veshurg, J.)", {"header", "page_number"}),
-        ("RANVEV DRINUND V. STATE OF SARPURA", {"header"}),
-        ("CIVIL APPEAL NO. 7211 OF 1998", {"header"}),
-        ("- 406 -", {"page_number"}),
-        ("[ 309 ]", {"page_number"}),
-        ("Page 17 of 65", {"page_number"}),
-        ("9O9", {"page_number"}),
-        ("243", {"page_number"}),
-        ("1959.", set()),
-        ("JUDGMENT", set()),
+        ("THE N0RTHERN LAW SERIES  [1983] 12 N.L.S.", {"header"}),
+        ("THE NORTHEKN LAW SERIES  [1983] 12 N.L.S.    833", {"header", "page_number"}),
+        ("TARVESH OSTRIM VERSUS UNION OF THORGARD", {"header"}),
+        ("- 4O6 -", {"page_number"}),
         ("FACTS OF THE CASE", set()),
     ]:
-        assert S.take_apart(f"{PLAIN}\n{line}\nThe appeal is dismissed.")[0] == want, line
-    lost = "The rival claims to the medical TARVESH OSTRIM V. THORGARD NESKASK certificate were compromised."
-    assert S.take_apart(lost)[0] == {"header"} and "TARVESH" not in S.take_apart(lost)[1]
-    assert S.take_apart("In Elgost v. Ranvask & Sons, this Court noticed that part-payment must be pleaded.")[0] == set()
+        kinds, body, _ = r.strip(f"{line}\n{prose}")
+        assert kinds == want and (line not in body) == bool(want), line
+    lost = "The rival claims to the medical TARVESH OSTRIM VERSUS UNION OF THORGARD certificate were compromised."
+    assert r.strip(lost)[0] == {"header"} and "TARVESH" not in r.strip(lost)[1]
+    assert r.strip("In Elgost v. Ranvask & Sons, this Court noticed that part-payment must be pleaded.")[0] == set()
+    # a line of no known form is furniture where it breaks a sentence
+    assert r.strip(prose.replace("record\n", "record\nThird Circuit Notes\n"))[0] == {"header"}
+    assert r.strip("")[:2] == (set(), "") and r.strip("FACTS OF THE CASE") == (set(), "FACTS OF THE CASE", [])
+    assert r.strip("WHOLLY IN CAPITALS " * 3000)[0] == set()
+
+
+def test_own_pages(spark):
+    """A head that only one document has, and a number that runs with its pages, are told by that document alone."""
+    rows = [("x", p, f"Notes of the Third Circuit\n{40 + p}\nThe plea of limitation was urged before the learned judge of the trial\ncourt and was rejected.") for p in (1, 2, 3)]
+    rows += [("x", 4, "The plea of limitation was urged before the learned judge of the trial\nNotes of the Third Circuit\ncourt and was rejected by him on the evidence of the attesting witness.")]
+    asks = {r.ask for r in FU.learn(spark.createDataFrame(rows, "doc string, page int, text string"), S.CONFUSED)[1].collect()}
+    assert asks == {"x|NOTESOFTHETHIRDCIRCUIT", "x|40"}
 
 
-def test_marks():
-    assert S.take_apart("the _ petitioner was heard")[0] == {"misread"}
-    assert S._mixed("di5trict") and S._mixed("1O22") and S._mixed("pr!nciple")
-    assert not any(map(S._mixed, ["340", "1B", "52A", "55th", "1980s", "word"]))
+def test_forms(spark):
+    """Digits and bars in words, letters in numbers and marks alone, all by counts."""
+    forms = [("district", 900), ("principle", 300), ("the", 9000), ("Zolmine", 30), ("1990", 50), ("2041", 40), ("1022", 40), ("di5trict", 1), ("pr!nciple", 1), ("1O22", 1), ("Zolm0va", 1), ("•", 2), ("52A", 9), ("55th", 3), ("1980s", 4), ("224B", 3)]
+    got = {r.form: r.fixed for r in S.misread_forms(spark.createDataFrame(forms, "form string, n long")).collect()}
+    assert got == {"di5trict": "district", "pr!nciple": "principle", "1O22": "1022", "Zolm0va": "Zolm0va", "•": ""}
 
 
 def corpus(spark, extra):
-    rows = [(f"c{i}", PLAIN + f" It was recorded on {i} January that the order of the tribunal did not survive.", "x") for i in range(60)]
-    return spark.createDataFrame(rows + extra, "id string, text string, noise_kind string")
+    rows = [(f"c{i}", PLAIN + f" It was recorded on {i} January that the order of the tribunal did not survive.", "x", None, None) for i in range(60)]
+    rows += [(f"b{i}", t, "x", d, p) for i, (d, p, t) in enumerate(pages())]
+    return spark.createDataFrame(rows + [(*e, None, None) for e in extra], "id string, text string, noise_kind string, judgment_id string, pdf_page int")
 
 
 def test_found_and_repaired(spark):
@@ -46,7 +75,8 @@ def test_found_and_repaired(spark):
         ("h3", "The short-\nterm tenant was examined.", ""),
         ("m1", "The pctition discloses no error.", ""),
         ("m2", "The petition disclosesno error.", ""),
-        ("n1", "MERIDIA COURT REPORTS  [1983] 12 M.C.R.    41\nThe petition discloses no error.", ""),
+        ("m3", "The petition • discloses no error.", ""),
+        ("n1", "THE NORTHERN LAW SERIES  [1983] 12 N.L.S.    41\nThe petition discloses no error.", ""),
         ("ok", "The tenant was examined.", ""),
         ("e1", "", ""),
         ("e2", None, ""),
@@ -55,12 +85,14 @@ def test_found_and_repaired(spark):
         ("m1", "The pctition discloses no error.", ""),
     ]
     df = corpus(spark, extra)
-    got = sorted(map(tuple, S.scan_noise(df, "id", "text").collect()))
-    assert got == [("h1", "hyphenation"), ("h2", "hyphenation"), ("long", "hyphenation"), ("m1", "misread"), ("m2", "misread"), ("n1", "header"), ("n1", "page_number")]
-    fixed = {r.id: r.text for r in S.repair_scans(df, "id", "text").collect()}
-    want = "The petition discloses no error."
-    assert all(fixed[k] == want for k in ("h1", "h2", "m1", "m2", "n1"))
+    cols = ("id", "text", "judgment_id", "pdf_page")
+    got = sorted(tuple(r) for r in S.scan_noise(df, *cols).collect() if r.id[0] != "b")
+    want = [("h1", "hyphenation"), ("h2", "hyphenation"), ("long", "hyphenation"), ("m1", "misread"), ("m2", "misread"), ("m3", "misread"), ("n1", "header"), ("n1", "page_number")]
+    assert got == want
+    fixed = {r.id: r.text for r in S.repair_scans(df, *cols).collect()}
+    assert all(fixed[k] == "The petition discloses no error." for k in ("h1", "h2", "m1", "m2", "m3", "n1"))
     assert fixed["h3"] == "The short-term tenant was examined." and fixed["e1"] == "" and "e2" not in fixed
+    assert fixed["b0"] == "The plea of limitation was urged before the learned judge of the trial court and was rejected by him on the evidence of the attesting witness number 0, who had seen the deed signed."
 
 
 def test_empty(spark):
