@@ -1,11 +1,12 @@
 """Filling fixed-capacity containers: best fit over several permitted lengths at once.
 
 Items are spread over shards by a hash of their id and each shard packs its
-own, largest first: an item goes to the open bin it leaves least room in; if
-none takes it, the permitted length whose expected cost in unused tokens is
-least is opened. At the end each bin shrinks to the smallest permitted length
-that holds its contents. A shard leaves a few bins part empty, whatever its
-number of items, so larger shards waste less.
+own, largest first. For the largest item that waits, every permitted length is
+tried: what still waits would fill it how well? The length of least cost, the
+share it leaves unused, is opened and filled so; among lengths of equal cost
+the shortest is. The lengths are so chosen jointly, from what waits at that
+moment, and long containers serve where short ones cannot be filled. At the end
+each bin shrinks to the smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
@@ -17,39 +18,50 @@ from pyspark.sql import functions as F
 from folioforge.session import cut
 
 
-def best_fit(sizes: list[int], lengths: list[int]) -> tuple[list[int], list[int]]:
-    """(bin of each size, final length of each bin); each size is at most the greatest of ``lengths``."""
+def best_fit(sizes: list[int], lengths: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each size, final length of each bin, length each bin was opened at); each size is at most the greatest of ``lengths``.
+
+    A bin is filled by the largest waiting item that fits, again and again. Items of no size go to the first bin.
+    """
     lengths = sorted(set(lengths))
-    most = lengths[-1]
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    waiting = sum(sizes)  # tokens not placed yet; those after an item are no larger than it
-    rooms: list[list[int]] = [[] for _ in range(most + 1)]  # open bins by the room left
-    some = 0  # bit r: some bin has room r
+    by: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # items that wait, by size
+    for i in range(len(sizes) - 1, -1, -1):
+        by[sizes[i]].append(i)
+    some = 0  # bit s: an item of size s waits
+    for s in range(1, lengths[-1] + 1):
+        if by[s]:
+            some |= 1 << s
     where = [0] * len(sizes)
     filled: list[int] = []
-    cap: list[int] = []
-    for i in order:
-        x = sizes[i]
-        fit = some >> x
-        if fit:
-            room = x + (fit & -fit).bit_length() - 1
-            b = rooms[room].pop()
-            if not rooms[room]:
-                some &= ~(1 << room)
-        else:
-            b = len(filled)
-            filled.append(0)
-            # what cannot be expected to be filled by all that waits is the cost; among equals the longer bin is the freer
-            cap.append(min((c for c in lengths if c >= x), key=lambda c: (max(0, c - waiting), -c)))
-            room = cap[b]
-        where[i] = b
-        filled[b] += x
-        waiting -= x
-        left = room - x
-        rooms[left].append(b)
-        some |= 1 << left
-    final = [next(c for c in lengths if c >= f) for f in filled]
-    return where, final
+    opened: list[int] = []
+    while some:
+        x = some.bit_length() - 1
+        best: tuple[float, int, list[int], int] | None = None
+        for c in lengths:
+            if c < x:
+                continue
+            room, took, used, left = c - x, [x], {x: 1}, some
+            if len(by[x]) == 1:
+                left &= ~(1 << x)
+            while room and (fit := left & ((1 << (room + 1)) - 1)):
+                y = fit.bit_length() - 1
+                used[y] = used.get(y, 0) + 1
+                if used[y] == len(by[y]):
+                    left &= ~(1 << y)
+                took.append(y)
+                room -= y
+            if best is None or room / c < best[0]:
+                best = (room / c, c, took, left)
+            if not room:
+                break  # a longer bin can cost no less
+        _, c, took, some = best
+        for y in took:
+            where[by[y].pop()] = len(opened)
+        opened.append(c)
+        filled.append(sum(took))
+    if sizes and not opened:
+        opened, filled = [lengths[0]], [0]
+    return where, [next(c for c in lengths if c >= f) for f in filled], opened
 
 
 def pack(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", shard_items: int = 100_000) -> DataFrame:
@@ -81,7 +93,7 @@ def pack(sizes: DataFrame, packs: DataFrame, id_col: str = "doc_id", shard_items
     def fill(key: tuple, t: pa.Table) -> pa.Table:
         pack_name, shard = key[0].as_py(), key[1].as_py()
         t = t.sort_by([("size", "descending"), ("id", "ascending"), ("piece", "ascending")])
-        where, final = best_fit(t.column("size").to_pylist(), lengths[pack_name])
+        where, final, _ = best_fit(t.column("size").to_pylist(), lengths[pack_name])
         return pa.table(
             {
                 "pack_name": pa.array([pack_name] * len(where), pa.string()),

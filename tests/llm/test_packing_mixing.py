@@ -14,14 +14,29 @@ def test_best_fit():
     r = random.Random(1)
     for _ in range(60):
         sizes = [r.randint(0, 64) for _ in range(r.randint(0, 80))]
-        where, final = P.best_fit(sizes, [16, 64])
+        where, final, opened = P.best_fit(sizes, [16, 64])
+        assert all(f <= o for f, o in zip(final, opened))
         held = [0] * len(final)
         for s, b in zip(sizes, where):
             held[b] += s
         assert all(h <= f and f in (16, 64) for h, f in zip(held, final))
         assert sum(final) <= 1.25 * sum(sizes) + 64
     assert P.best_fit([60, 4, 64, 10], [16, 64])[1].count(64) == 2
-    assert P.best_fit([], [8]) == ([], [])
+    assert P.best_fit([], [8]) == ([], [], []) and P.best_fit([0, 0], [4, 8]) == ([0, 0], [4], [4])
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "uniform", "narrow"])
+def test_lengths_are_chosen_jointly(kind):
+    """Several lengths open long before the end, and less room is left than with the longest alone."""
+    r = np.random.default_rng(1)
+    n = 4000
+    sizes = {"lognormal": np.clip(r.lognormal(7, 1.2, n), 1, 32768), "uniform": r.integers(1, 16000, n), "narrow": r.integers(800, 3000, n)}[kind].astype(int).tolist()
+    lengths = [2048, 8192, 32768]
+    _, joint, opened = P.best_fit(sizes, lengths)
+    _, alone, _ = P.best_fit(sizes, lengths[-1:])
+    assert sum(joint) <= sum(alone)
+    early = opened[: int(0.8 * len(opened))]
+    assert len(set(early)) >= 2
 
 
 def test_pack(spark):
@@ -72,6 +87,18 @@ def test_mix(spark):
     assert M.mix_sources(sizes.limit(0), targets).count() == 0 and M.mix_sources(sizes, targets.limit(0)).count() == 0
 
 
+def test_shards_stay_bounded(spark):
+    """However few blocks the driver plans with, a shard is about shard_tokens and shares are met in each."""
+    docs = spark.range(20_000).selectExpr("id doc_id", "if(id % 4 = 0, 'a', 'b') source", "100 n_tokens")
+    targets = spark.createDataFrame([("m", "a", 1.0, 1), ("m", "b", 1.0, 1)], "mix_name string, source string, weight double, max_repeats int")
+    got = M.mix_sources(docs, targets, most_blocks=8, shard_tokens=20_000).groupBy("shard", "source").sum("n_tokens").collect()
+    size: dict = {}
+    for x in got:
+        size.setdefault(x.shard, {})[x.source] = x[2]
+    assert len(size) >= 45 and max(sum(v.values()) for v in size.values()) <= 40_000
+    assert sum(v.get("a", 0) for v in size.values()) == 500_000 and abs(sum(v.get("b", 0) for v in size.values()) - 500_000) <= 100
+
+
 @pytest.mark.skipif(not os.path.isdir(T.TOKENIZERS), reason="no tokenizer files")
 def test_tokens(spark):
     texts = ["", None, "The appeal is dismissed.", "é — 東京 <|endoftext|>", "a" * 20000]
