@@ -5,8 +5,10 @@ sizes reach the driver. A mix is as large as its scarcest source allows. Every
 source contributes whole rounds of its blocks and a random part of one more;
 the last block of that part is taken by document until the quota is met. A
 multivariate hypergeometric tree then splits the sources' numbers of blocks
-over the output shards, so each shard is a fair sample of the mix, and each
-shard is put in random order by itself.
+over groups of output shards. Below the groups the tree goes on without the
+driver: each block is cut by a second hash into as many equal parts as its
+group has shards, one for each. So each shard is a fair sample of the mix and of
+about the same size however large the sources are, and is put in random order by itself.
 """
 
 from __future__ import annotations
@@ -38,14 +40,14 @@ def split_tree(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.
 
 
 def plan_mix(targets: list[tuple[str, float, int]], blocks: dict[str, np.ndarray], shard_tokens: int, seed: int) -> tuple[list[tuple], int]:
-    """Placements (source, block, copy, shard, most tokens or -1 for the whole block) of one mix, and its shards.
+    """Placements (source, block, copy, group of shards, most tokens or -1 for the whole block) of one mix, and the shards of each group.
 
     ``targets``: (source, weight, max_repeats); ``blocks``: the tokens of each block of a source.
     """
     rng = np.random.default_rng(seed)
     live = sorted((s, w, r) for s, w, r in targets if w > 0 and r > 0 and s in blocks and blocks[s].sum() > 0)
     if not live:
-        return [], 0
+        return [], 1
     weight = sum(w for _, w, _ in live)
     total = min(r * float(blocks[s].sum()) * weight / w for s, w, r in live)
     units: list[list[tuple]] = []
@@ -62,15 +64,15 @@ def plan_mix(targets: list[tuple[str, float, int]], blocks: dict[str, np.ndarray
             rest -= min(rest, float(size[b]))
         units.append([mine[i] for i in rng.permutation(len(mine))])
     shards = max(1, round(total / shard_tokens))
-    shards = min(shards, sum(len(u) for u in units))
-    quota = split_tree(np.array([len(u) for u in units]), shards, rng)
+    groups = max(1, min(shards, sum(len(u) for u in units)))
+    quota = split_tree(np.array([len(u) for u in units]), groups, rng)
     at = np.zeros(len(units), np.int64)
     placed = []
-    for k in range(shards):
+    for k in range(groups):
         for j, u in enumerate(units):
             placed += [(*x[:3], k, x[3]) for x in u[at[j] : at[j] + quota[k, j]]]
         at += quota[k]
-    return placed, shards
+    return placed, -(-shards // groups)
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, most_blocks: int = 512, block_docs: int = 4, shard_tokens: int = 4_000_000, seed: int = 5) -> DataFrame:
@@ -89,7 +91,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, most_blocks: int = 512, bl
     wanted = wanted.agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("r")).collect()
     docs = sizes.select("doc_id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0")
     docs = cut(docs.where(F.col("source").isin(sorted({r.source for r in wanted})) if wanted else F.lit(False)))
-    # a fine hash bucket first: how many make a block depends on the source's number of documents
+    # a fine hash bucket first; most_blocks bounds what the driver plans with, not what a shard or a task holds: how many make a block depends on the source's number of documents
     fine = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(most_blocks)).cast("int")
     stats: dict[str, np.ndarray] = {}
     number: dict[str, int] = {}
@@ -101,16 +103,25 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, most_blocks: int = 512, bl
     mixes = sorted({r.mix_name for r in wanted})
     rows = []
     for i, m in enumerate(mixes):
-        placed, _ = plan_mix([(r.source, r.w, r.r) for r in wanted if r.mix_name == m], blocks, shard_tokens, seed + i)
-        rows += [(m, *p) for p in placed]
-    plan = spark.createDataFrame(rows, "mix_name string, source string, block int, copy int, shard int, most long")
+        placed, each = plan_mix([(r.source, r.w, r.r) for r in wanted if r.mix_name == m], blocks, shard_tokens, seed + i)
+        rows += [(m, *p, each) for p in placed]
+    plan = spark.createDataFrame(rows, "mix_name string, source string, block int, copy int, shard_group int, most long, parts int")
     modulus = spark.createDataFrame(list(cuts.items()), "source string, cuts int")  # one row per source
     blocked = docs.join(F.broadcast(modulus), "source").withColumn("block", (fine % F.col("cuts")).cast("int")).drop("cuts")
     drawn = blocked.join(plan, ["source", "block"]).withColumn("h", F.xxhash64(F.lit(seed), "mix_name", "copy", "doc_id"))
-    # a block taken in part is one per mix and source
-    part = Window.partitionBy("mix_name", "source", "block", "copy").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    some = drawn.where("most >= 0").withColumn("sofar", F.sum("n_tokens").over(part)).where(F.col("sofar") - F.col("n_tokens") / 2 <= F.col("most")).drop("sofar")
-    taken = drawn.where("most < 0").unionByName(some)
+    # a block taken in part is one per mix and source: its hash buckets up to the quota are taken whole, the one that passes it by document
+    part = ["mix_name", "source", "block", "copy"]
+    some = drawn.where("most >= 0").withColumn("hb", F.pmod("h", F.lit(4096)))
+    upto = Window.partitionBy(*part).orderBy("hb").rowsBetween(Window.unboundedPreceding, -1)
+    sums = some.groupBy(*part, "hb").agg(F.sum("n_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))  # 4,096 rows a part at most
+    some = some.join(sums, [*part, "hb"]).where(F.col("before") < F.col("most"))
+    whole = some.where(F.col("before") + F.col("t") <= F.col("most"))
+    inner = Window.partitionBy(*part, "hb").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = some.where(F.col("before") + F.col("t") > F.col("most")).withColumn("sofar", F.col("before") + F.sum("n_tokens").over(inner))
+    last = last.where(F.col("sofar") - F.col("n_tokens") / 2 <= F.col("most"))
+    taken = drawn.where("most < 0").unionByName(whole.select(*drawn.columns)).unionByName(last.select(*drawn.columns))
+    own = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_name", "copy", "doc_id"), F.col("parts"))
+    taken = taken.withColumn("shard", (F.col("shard_group") * F.col("parts") + own).cast("int"))
     order = Window.partitionBy("mix_name", "shard").orderBy("h", "doc_id")
     return taken.select("mix_name", "shard", (F.row_number().over(order) - 1).alias("position"), "doc_id", "source", "copy", "n_tokens")
 

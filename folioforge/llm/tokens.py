@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 _LOADED: dict[str, object] = {}
 
@@ -32,7 +34,7 @@ def encoding(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
 def token_sizes(df: DataFrame, id_col: str, text_col: str, keep: list[str] = (), folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(id, keep..., n_tokens) of every row; null and empty texts have 0 tokens."""
     cols = [id_col, *keep]
-    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)], F.col(text_col).cast("string").alias("text"))
+    rows = spread(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)], F.col(text_col).cast("string").alias("text")))
     names = [f"k{i}" for i in range(len(cols))]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema)
 
