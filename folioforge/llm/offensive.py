@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.session import spread
+
 CLASSES = ["abuse", "hate", "sexual"]
 ORDINARY = len(CLASSES)
 
@@ -40,6 +42,21 @@ _RUN = re.compile(r"(.)\1+")
 _FORMS: dict[str, str] = {}  # forms of words met in this process
 
 
+class _Lookup(dict):
+    """A dict that makes what it misses; few calls of Python once it is filled."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
+_BASE = _Lookup(lambda c: None if unicodedata.combining(chr(c)) else c)  # accents away
+
+
 def _joined(m: re.Match) -> str:
     return re.sub(r"[\W_]+", "", m[0])
 
@@ -65,7 +82,7 @@ def words(sentence: str) -> list[str]:
     s = sentence
     if not s.isascii():
         s = unicodedata.normalize("NFKC", _HIDDEN.sub("", s)).translate(_LOOKALIKE)
-        s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+        s = unicodedata.normalize("NFD", s).translate(_BASE)
     if _SPACED.search(s):
         s = _SPELLED.sub(_joined, s)
     forms = _FORMS
@@ -101,7 +118,23 @@ class Model:
 
     def __init__(self, least: int = 3, discount: float = 0.75):
         self.least, self.d = least, discount
-        self.memo: dict[tuple[str, str, str], tuple[float, ...]] = {}
+        self.ready = False
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("token", "place", "rows", "made")} | {"ready": False}
+
+    def _prepare(self) -> None:
+        """Empty look-ups: written word to known form, trigram to its row of log-probabilities."""
+        self.made: list[tuple[float, ...]] = []
+        self.rows = np.zeros((0, len(self.tri)))
+
+        def place(g: tuple[str, str, str]) -> int:
+            self.made.append(self._logs(g))
+            return len(self.made) - 1
+
+        self.place = _Lookup(place)
+        self.token = _Lookup(lambda w: (self._known([f]) if (f := _form(w)) else [""])[0])
+        self.ready = True
 
     def fit(self, sents: list[list[str]], weight: list[int], classes: np.ndarray) -> "Model":
         n = len(CLASSES) + 1
@@ -149,7 +182,7 @@ class Model:
         self.floor = rest
         mass = np.bincount(classes, weights=weight, minlength=n) + 1.0
         self.prior = tuple(np.log(mass / mass.sum()))
-        self.memo = {}
+        self.ready = False
         return self
 
     def _known(self, s: list[str]) -> list[str]:
@@ -179,35 +212,45 @@ class Model:
             out.append(log(p))
         return tuple(out)
 
+    def _sums(self, told: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihoods of each sentence of known words under each class and the ordinary model, lengths)."""
+        ids: list[int] = []
+        starts = []
+        for t in told:
+            starts.append(len(ids))
+            t = ["<s>", "<s>", *t, "</s>"]
+            ids += map(self.place.__getitem__, zip(t, t[1:], t[2:]))
+        if len(self.rows) < len(self.made):
+            self.rows = np.array(self.made) if len(self.rows) * 2 < len(self.made) else np.concatenate([self.rows, np.array(self.made[len(self.rows) :])])
+        return np.add.reduceat(self.rows[ids], starts, axis=0), np.diff([*starts, len(ids)])
+
     def score(self, s: list[str]) -> tuple[list[float], int]:
         """Log-likelihoods of the sentence under each class and under the ordinary model, and its length."""
-        t = ["<s>", "<s>", *self._known(s), "</s>"]
-        total = [0.0] * len(self.tri)
-        memo = self.memo
-        if len(memo) > 1_000_000:
-            memo.clear()
-        for g in zip(t, t[1:], t[2:]):
-            x = memo.get(g)
-            if x is None:
-                x = memo[g] = self._logs(g)
-            for i, y in enumerate(x):
-                total[i] += y
-        return total, len(t) - 2
+        if not self.ready:
+            self._prepare()
+        total, n = self._sums([self._known(s)])
+        return total[0].tolist(), int(n[0])
 
     def judge(self, text: str, margin: float) -> tuple[list[float], set[int]]:
         """Best length-normalised log-likelihood ratio of each class over the sentences, and the classes found."""
-        best, found = [-9.0] * ORDINARY, set()
+        if not self.ready or len(self.made) > 1_000_000 or len(self.token) > 500_000:
+            self._prepare()
+        plain = text.isascii() and not _SPACED.search(text)
+        told = []
         for s in sentences(text):
-            w = words(s)
-            if not w:
-                continue
-            ll, n = self.score(w)
-            top = max(range(ORDINARY), key=lambda c: ll[c] + self.prior[c])
-            for c in range(ORDINARY):
-                best[c] = max(best[c], (ll[c] - ll[ORDINARY]) / n)
-            if (ll[top] - ll[ORDINARY]) / n >= margin and ll[top] + self.prior[top] > ll[ORDINARY] + self.prior[ORDINARY]:
-                found.add(top)
-        return best, found
+            t = [x for w in _WORD.findall(s) if (x := self.token[w])] if plain else self._known(words(s))
+            if t:
+                told.append(t)
+        if not told:
+            return [-9.0] * ORDINARY, set()
+        ll, n = self._sums(told)
+        ratio = (ll[:, :ORDINARY] - ll[:, ORDINARY:]) / n[:, None]
+        prior = np.array(self.prior)
+        held = ll + prior
+        top = held[:, :ORDINARY].argmax(1)
+        at = np.arange(len(top))
+        bad = (ratio[at, top] >= margin) & (held[at, top] > held[:, ORDINARY])
+        return np.maximum(ratio.max(0), -9.0).tolist(), set(top[bad].tolist())
 
 
 def fit(rows: list[tuple[str, str]], share: float = 0.62, rounds: int = 2) -> Model:
@@ -291,7 +334,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, most_labelled: int
             cols = [pa.array([x[i] for x in best], pa.float64()) for i in range(ORDINARY)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *cols, pa.array(found, pa.list_(pa.string()))], ["doc_id", "source", *CLASSES, "found"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
     return rows.mapInArrow(score, "doc_id long, source string, abuse double, hate double, sexual double, found array<string>")
 
 
