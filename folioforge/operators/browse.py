@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,14 @@ def iso_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
 
 
+def iso_text(text: str) -> str | None:
+    """The bound if it is a real date written YYYY-MM-DD; any other bound asks for nothing."""
+    try:
+        return text if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text) and date.fromisoformat(text) else None
+    except ValueError:
+        return None
+
+
 def listed(values: list, most: int) -> list:
     """Trimmed, without repeats and empties, at most ``most`` (the request's own limit)."""
     clean = [v.strip() if isinstance(v, str) else v for v in values]
@@ -88,11 +98,12 @@ def browse_filter(judgments: DataFrame, f: Filters, bridge: DataFrame | None = N
         out = out.where(like_folded(F.col("citation"), f.reporter.strip()))
     if f.neutral_citation.strip():
         out = out.where(like_folded(F.col("neutral_citation"), f.neutral_citation.strip(), prefix=True))
-    for c, low, high in ("decision_year", f.year_from, f.year_to), ("bench_size", f.bench_min, f.bench_max), ("decision_date", f.date_from or None, f.date_to or None):
+    dated = iso_date(F.col("decision_date"))
+    for c, low, high in (F.col("decision_year"), f.year_from, f.year_to), (F.col("bench_size"), f.bench_min, f.bench_max), (dated, iso_text(f.date_from), iso_text(f.date_to)):
         if low is not None:
-            out = out.where(F.col(c) >= low)
+            out = out.where(c >= low)
         if high is not None:
-            out = out.where(F.col(c) <= high)
+            out = out.where(c <= high)
     if values := listed(f.language, 20):
         out = out.where(csv_holds(F.col("available_languages"), values))
     if values := listed(f.judges, 20):
@@ -102,12 +113,13 @@ def browse_filter(judgments: DataFrame, f: Filters, bridge: DataFrame | None = N
 
 
 def page(df: DataFrame, sort: str, number: int = 1, size: int = 20, deepest: int = 50_000) -> DataFrame:
-    """One page of a total order, nulls last both ways; pages beyond ``deepest`` rows are empty."""
+    """One page of a total order, nulls last both ways, as are dates not written YYYY-MM-DD; pages beyond ``deepest`` rows are empty."""
     bounded(number, 1, 10_000), bounded(size, 1, 100)
     first = (number - 1) * size
     if first >= deepest:
         return df.limit(0)
-    order = [F.desc_nulls_last(c) if way == "desc" else F.asc_nulls_last(c) for c, way in SORTS[sort]]
+    key = lambda c: iso_date(F.col(c)) if c == "decision_date" else F.col(c)
+    order = [key(c).desc_nulls_last() if way == "desc" else key(c).asc_nulls_last() for c, way in SORTS[sort]]
     return df.orderBy(*order).offset(first).limit(size)
 
 

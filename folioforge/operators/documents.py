@@ -89,15 +89,19 @@ def block_kind(text: Column) -> Column:
 
 
 # What a later decision does to an earlier one.
-TREATMENTS = ["relied on", "referred to", "followed", "distinguished", "overruled", "affirmed", "approved", "explained", "reversed"]
+TREATMENTS = ["not followed", "referred to", "relied on", "followed", "distinguished", "overruled", "disapproved", "approved", "affirmed", "applied", "explained", "considered", "cited"]
 
 
 def citation_row(line: Column) -> Column:
-    """struct(citation, treatment, paragraphs): a row of a table of cited cases, or null; exactly one treatment must stand in it."""
-    said = F.regexp_extract_all(F.lower(line), F.lit(r"\b(" + "|".join(TREATMENTS) + r")\b"), F.lit(1))
+    """struct(citation, treatment, paragraphs): a row of a table of cited cases, or null; exactly one treatment must stand in it.
+
+    A longer treatment is no case of the shorter one in it ("not followed").
+    """
+    ways = "|".join(t.replace(" ", r"\s+") for t in sorted(TREATMENTS, key=len, reverse=True))
+    said = F.regexp_extract_all(F.lower(line), F.lit(rf"\b({ways})\b"), F.lit(1))
     cite = F.regexp_extract(line, r"(\[\d{4}\] (?:Supp\. )?\d+ [A-Z](?:\.?[A-Z])+\.? \d+|\(\d{4}\) \d+ [A-Z]+ \d+)", 1)
     paras = F.transform(F.regexp_extract_all(F.regexp_extract(line, r"(?i)paras?\.? ([\d(), and-]+)", 1), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
-    row = F.struct(cite.alias("citation"), F.get(said, F.lit(0)).alias("treatment"), paras.alias("paragraphs"))
+    row = F.struct(cite.alias("citation"), F.regexp_replace(F.get(said, F.lit(0)), r"\s+", " ").alias("treatment"), paras.alias("paragraphs"))
     return F.when((F.size(said) == 1) & (cite != ""), row)
 
 

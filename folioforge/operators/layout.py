@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 def confidence_percent(c: Column) -> Column:
     """A confidence in percent; values up to 1 are shares."""
-    return F.when(c <= 1, c * 100).otherwise(c)
+    return F.when((c > 0) & (c <= 1), c * 100).otherwise(c)
 
 
 def fallback_reasons(text: Column, confidence: Column, error: Column, present: Column, least: float = 75, signs: int = 40) -> Column:
@@ -28,19 +28,39 @@ def fallback_reasons(text: Column, confidence: Column, error: Column, present: C
     )
 
 
-def page_route(quality: Column, scanned: Column, hidden_text: Column) -> Column:
-    """What to do with a page: ocr where there is no text, reocr where it is poor, else keep."""
-    return F.when(scanned & ~hidden_text, "ocr").when(hidden_text & (quality < 0.75), "reocr").when(quality < 0.6, "reocr").otherwise("keep")
+# Least signs of a page with text, and the score from which a scan's own text is good.
+MIN_TEXT = 40
+GOOD_SCORE = 0.95
 
 
-def chosen_text(embedded: Column, embedded_q: Column, fast: Column, fast_c: Column, fast_q: Column, neural: Column, neural_q: Column, slack: float = 0.03) -> Column:
-    """struct(text, source): the neural text where the fast one is weak and it is hardly worse, then the fast one, then the embedded."""
-    weak = fast.isNull() | fast_c.isNull() | (confidence_percent(fast_c) < 75)
+def document_route(pages: Column, missing: Column, scanned: Column, score: Column) -> Column:
+    """What a document needs, from its numbers of pages, of pages without text, of scanned pages, and the quality of its whole text."""
+    return (
+        F.when(missing == pages, "ocr_required")
+        .when((scanned > 0) & (score < GOOD_SCORE), "reocr_recommended")
+        .when(missing > 0, "selective_ocr_required")
+        .when(scanned > 0, "existing_ocr_usable")
+        .otherwise("digital_text")
+    )
+
+
+def page_action(route: Column, n_chars: Column, scanned: Column) -> Column:
+    """What to do with a page of a document of that route: ocr where there is hardly text, reocr where the scan is to be read again, else keep."""
+    return F.when(n_chars < MIN_TEXT, "ocr").when((route == "reocr_recommended") & scanned, "reocr").otherwise("keep")
+
+
+def chosen_text(action: Column, embedded: Column, fast: Column, fast_c: Column, fast_q: Column, fast_error: Column, neural: Column, neural_q: Column, neural_error: Column, slack: float = 0.03) -> Column:
+    """struct(text, source): the embedded text of a page to keep; else the fast one, or the neural where the fast is weak and it is
+    hardly worse, or where there is no fast one; null text and source where neither was read."""
+    has_fast, has_neural = fast.isNotNull() & fast_error.isNull(), neural.isNotNull() & neural_error.isNull()
+    weak = F.size(fallback_reasons(fast, fast_c, fast_error, fast.isNotNull())) > 0
+    better = F.coalesce(neural_q, F.lit(0.0)) >= F.coalesce(fast_q, F.lit(0.0)) - slack
     pick = lambda t, s: F.struct(t.alias("text"), F.lit(s).alias("source"))
     return (
-        F.when(weak & neural.isNotNull() & (fast_q.isNull() | (neural_q >= fast_q - slack)), pick(neural, "neural"))
-        .when(fast.isNotNull() & (embedded_q.isNull() | (fast_q >= embedded_q)), pick(fast, "fast"))
-        .otherwise(pick(embedded, "embedded"))
+        F.when(action == "keep", pick(embedded, "embedded"))
+        .when(has_fast & ~(has_neural & weak & better), pick(fast, "fast"))
+        .when(has_neural, pick(neural, "neural"))
+        .otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source")))
     )
 
 

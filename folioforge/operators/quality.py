@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import quality_counts, quality_score
+
+RATED = ["n_common", "n_words", "n_alpha", "n_signs", "n_suspicious", "n_tokens", "n_odd"]
+
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rule): one row per row and rule it breaks, all rules in one scan; a null condition is not broken."""
@@ -56,3 +60,26 @@ def exact_set(predicted: Column, required: Column, acceptable: Column) -> Column
     """Everything required is predicted and nothing beyond what is acceptable; null where nothing is required."""
     ok = (F.size(F.array_except(required, predicted)) == 0) & (F.size(F.array_except(predicted, F.array_union(required, acceptable))) == 0)
     return F.when(F.size(required) > 0, ok)
+
+
+def common_words(df: DataFrame, text: str, least: int = 5, most: int = 50_000) -> DataFrame:
+    """(word): lower-case words of three letters and more that at least ``least`` texts hold, the ``most`` commonest (what is broadcast is bounded by it)."""
+    w = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))
+    n = df.select(F.explode(w).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.orderBy(F.desc("n"), "word").limit(most).select("word")
+
+
+def text_metrics(df: DataFrame, keys: list[str], text: str, common: DataFrame) -> DataFrame:
+    """(keys..., counts, n_common): the counts of ``quality_counts`` and the words found in ``common`` (word); rows of one key and text count once."""
+    rows = df.where(F.col(text).isNotNull()).withColumn("__h", F.xxhash64(text))
+    counts = rows.select(*keys, "__h", *[c.alias(n) for n, c in quality_counts(F.col(text)).items()]).dropDuplicates([*keys, "__h"])
+    each = rows.select(*keys, "__h", text).dropDuplicates([*keys, "__h"]).select(*keys, "__h", F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    n = each.join(F.broadcast(common), "word").groupBy(*keys, "__h").agg(F.count("*").alias("n_common"))
+    same = [counts[k].eqNullSafe(n[k]) for k in [*keys, "__h"]]
+    return counts.join(n, reduce(lambda a, b: a & b, same), "left").select(*[counts[c] for c in counts.columns if c != "__h"], F.coalesce(n["n_common"], F.lit(0)).alias("n_common"))
+
+
+def rated(df: DataFrame) -> DataFrame:
+    """The counts with ``quality`` and its bucket ``severity``."""
+    q = df.withColumn("quality", quality_score(*[F.col(c) for c in RATED]))
+    return q.withColumn("severity", F.when(F.col("quality") < 0.75, "severe").when(F.col("quality") < 0.9, "moderate").otherwise("mild"))

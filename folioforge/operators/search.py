@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import words
 
 
-def bm25(df: DataFrame, id_col: str, text: Column, terms: list[str], k1: float = 1.2, b: float = 0.75, keep: list[str] = ()) -> DataFrame:
+def bm25(df: DataFrame, id_col: str, text: Column, terms: list[str], k1: float = 1.2, b: float = 0.75, keep: list[str] = (), only: Column | None = None) -> DataFrame:
     """(id, keep..., score) of every row with one of ``terms``: Okapi BM25, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), 6 places.
 
     Two scans and one row of statistics between them; nothing is shuffled.
-    Null texts are no documents.
+    Null texts are no documents. ``only`` filters the hits; the statistics are those of all rows.
     """
-    t = df.select(id_col, *keep, words(text).alias("w")).where("w IS NOT NULL")
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    t = df.select(id_col, *keep, wanted.alias("wanted"), words(text).alias("w")).where("w IS NOT NULL")
     asked = F.array(*map(F.lit, terms))
-    d = t.select(id_col, *keep, F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(asked, x)).alias("hits"))
+    d = t.select(id_col, *keep, "wanted", F.size("w").alias("n"), F.filter("w", lambda x: F.array_contains(asked, x)).alias("hits"))
     stats = d.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_n"), *[F.count_if(F.array_contains("hits", x)).alias(f"df{i}") for i, x in enumerate(terms)])
-    hit = d.where(F.size("hits") > 0).crossJoin(F.broadcast(stats))  # one row
+    hit = d.where("wanted").where(F.size("hits") > 0).crossJoin(F.broadcast(stats))  # one row
     norm = k1 * (1 - b + b * F.col("n") / F.col("avg_n"))
 
     def part(i: int, x: str) -> Column:
@@ -48,11 +51,12 @@ def matched_terms(text: Column, terms: list[str]) -> Column:
 def has_phrase(text: Column, phrase: list[str], slop: int = 0) -> Column:
     """The phrase's words in order, with at most ``slop`` other words between them altogether."""
     w = words(text)
-    if slop == 0:
+    if slop == 0 or len(phrase) < 2:
         return F.contains(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), F.lit(" " + " ".join(phrase) + " "))
-    gap = r"(?: [^ ]+){0,%d}? " % slop
-    near = F.regexp_extract_all(F.concat(F.array_join(w, " "), F.lit(" ")), F.lit(r"(?<![^ ])" + gap.join(phrase) + r"(?= )"), F.lit(0))
-    return F.exists(near, lambda m: F.size(F.split(m, " ")) <= len(phrase) + slop)
+    # every way to spend the slop on the gaps is a branch, so that no match hides another
+    spent = [g for g in product(range(slop + 1), repeat=len(phrase) - 1) if sum(g) <= slop]
+    ways = ["".join(f"{x} (?:[^ ]+ ){{{n}}}" if n else f"{x} " for x, n in zip(phrase, g)) + phrase[-1] for g in spent]
+    return F.array_join(w, " ").rlike(rf"(?<![^ ])(?:{'|'.join(ways)})(?![^ ])")
 
 
 def cosine(a: Column, query: list[float]) -> Column:

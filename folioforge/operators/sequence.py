@@ -21,20 +21,21 @@ def prefix_budget(df: DataFrame, group: list[str], order: list[Column], cost: Co
     return out.where(fits | (F.col("__n") == 1) if keep_first else fits).drop("__sum", "__n")
 
 
-def skipping_budget(df: DataFrame, group: str, item: str, cost: str, order: str, budget: int, most: int) -> DataFrame:
-    """Newest first, at most ``most`` items, each taken if it still fits, later smaller ones too; (group, items in reading order).
+def skipping_budget(df: DataFrame, group: str, item: str, cost: str, order: list[str], budget: int, most: int) -> DataFrame:
+    """Of the newest ``most`` items of each group those that still fit the budget, newest first: (group, items in reading order).
 
-    All items of a group are gathered and looked at: one that does not fit does not count towards ``most``, so
-    an old small item can still belong to the result.
+    An item that does not fit, or costs nothing, is passed over; a smaller older one among the newest ``most`` may still
+    be taken. The group limit runs before the shuffle.
     """
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).cast("string").alias("i"), F.col(cost).cast("long").alias("c")))))
+    newest = first_rows(df.where(F.col(cost).isNotNull()), [group], [F.desc(c) for c in order], most)
+    rows = F.reverse(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(item).cast("string").alias("i"), F.col(cost).cast("long").alias("c")))))
     start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<string>").alias("a"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc.s + x.c <= budget) & (F.size(acc.a) < most)
+        fits = (x.c > 0) & (acc.s + x.c <= budget)
         return F.struct(F.when(fits, acc.s + x.c).otherwise(acc.s).alias("s"), F.when(fits, F.concat(F.array(x.i), acc.a)).otherwise(acc.a).alias("a"))
 
-    return df.groupBy(group).agg(rows.alias("r")).select(group, F.aggregate("r", start, step, lambda a: a.a).alias("items"))
+    return newest.groupBy(group).agg(rows.alias("r")).select(group, F.aggregate("r", start, step, lambda a: a.a).alias("items"))
 
 
 def islands(df: DataFrame, group: list[str], order: list[Column], same: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from .registry import Family
 
 family = Family()
 _J = "j AS (SELECT DISTINCT * EXCLUDE (ingested_at, batch_id) FROM judgments)"
+_ISO = "CASE WHEN regexp_full_match(decision_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(decision_date AS DATE) IS NOT NULL THEN decision_date END"
 _ROW = "id, title, decision_date, decision_year"
 
 
@@ -31,7 +32,8 @@ def _filtered(spark: SparkSession, d: str, **f) -> DataFrame:
 for _name, _where, _args in [
     ("browse_year_range", "decision_year BETWEEN 1970 AND 1999", {"year_from": 1970, "year_to": 1999}),
     ("browse_year_from", "decision_year >= 2010", {"year_from": 2010}),
-    ("browse_date_range", "decision_date >= '1980-01-01' AND decision_date <= '1995-12-31'", {"date_from": "1980-01-01", "date_to": "1995-12-31"}),
+    ("browse_date_range", f"{_ISO} BETWEEN '1980-01-01' AND '1995-12-31'", {"date_from": "1980-01-01", "date_to": "1995-12-31"}),
+    ("browse_date_bad_bound", f"{_ISO} <= '1995-12-31'", {"date_from": "1980-02-31", "date_to": "1995-12-31"}),
     ("browse_era_court", "era IN ('1970-1989', '2010-2019') AND court IN ('Supreme Court of Meridia')", {"era": ["1970-1989", "2010-2019 "], "court": ["Supreme Court of Meridia"]}),
     ("browse_disposal", "disposal_nature IN ('Appeal dismissed', 'Withdrawn by leave')", {"disposal": ["Appeal dismissed", "Withdrawn by leave", ""]}),
     ("browse_party_contains", "contains(lower(petitioner), 'union') OR contains(lower(respondent), 'union')", {"party": "UNION"}),
@@ -69,8 +71,8 @@ def _sorted(name: str, sort: str, order: str, number: int, size: int) -> None:
     family.query(f"WITH {_J} SELECT {_ROW} FROM j ORDER BY {order} LIMIT {size} OFFSET {(number - 1) * size}")(run)
 
 
-_sorted("browse_recent", "recent", "decision_date DESC NULLS LAST, id", 1, 20)
-_sorted("browse_oldest", "oldest", "decision_date ASC NULLS LAST, id", 2, 20)
+_sorted("browse_recent", "recent", f"{_ISO} DESC NULLS LAST, id", 1, 20)
+_sorted("browse_oldest", "oldest", f"{_ISO} ASC NULLS LAST, id", 2, 20)
 _sorted("browse_title", "title", "title ASC NULLS LAST, id", 3, 20)
 
 

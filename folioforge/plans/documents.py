@@ -13,6 +13,7 @@ from .passages import _order, _stage
 from .registry import Family
 
 family = Family()
+_WHITE = r"\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _S = "s AS (SELECT DISTINCT id, judgment_id, pdf_page, paragraph_index, paragraph_number, part_index, text FROM ingest_chunks_stage WHERE judgment_id IS NOT NULL)"
 
 
@@ -23,7 +24,16 @@ def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "paragraph_index", F.col("p.number").alias("number"), F.col("p.text").alias("text"))
 
 
-@family.query()
+@family.query(f"""
+WITH RECURSIVE {_S}, p AS (SELECT judgment_id, pdf_page, paragraph_index, text, row_number() OVER (PARTITION BY judgment_id, pdf_page, paragraph_index ORDER BY coalesce(part_index, 0), text) n,
+  count(*) OVER (PARTITION BY judgment_id, pdf_page, paragraph_index) parts FROM s WHERE text IS NOT NULL),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[{_WHITE}]+'), lambda x: x <> '') w FROM p),
+f AS (SELECT judgment_id, pdf_page, paragraph_index, parts, n, text, w FROM w WHERE n = 1
+  UNION ALL SELECT f.judgment_id, f.pdf_page, f.paragraph_index, f.parts, w.n, CASE WHEN k IS NULL THEN f.text || ' ' || w.text ELSE array_to_string(f.w || list_slice(w.w, k + 1, len(w.w)), ' ') END,
+    CASE WHEN k IS NULL THEN f.w || w.w ELSE f.w || list_slice(w.w, k + 1, len(w.w)) END
+  FROM f JOIN w ON w.judgment_id = f.judgment_id AND w.pdf_page IS NOT DISTINCT FROM f.pdf_page AND w.paragraph_index IS NOT DISTINCT FROM f.paragraph_index AND w.n = f.n + 1,
+  LATERAL (SELECT list_max(list_filter(range(2, least(len(f.w), len(w.w)) + 1), lambda i: list_slice(f.w, len(f.w) - i + 1, len(f.w)) = list_slice(w.w, 1, i))) k))
+SELECT judgment_id, pdf_page, paragraph_index, parts::INT parts, text FROM f WHERE n = parts""")
 def merged_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return D.merged_parts(_stage(spark, d), ["judgment_id", "pdf_page", "paragraph_index"], "part_index", "text")
 
@@ -57,13 +67,22 @@ def chunk_prints(spark: SparkSession, d: str) -> DataFrame:
     return D.print_of(_stage(spark, d), "judgment_id", _order(), "text")
 
 
-@family.query()
+@family.query(f"""
+WITH RECURSIVE {_S}, r AS (SELECT judgment_id, coalesce(pdf_page, 0) page, coalesce(paragraph_index, 0) para, coalesce(part_index, 0) part, id, paragraph_number,
+  row_number() OVER (PARTITION BY judgment_id ORDER BY coalesce(pdf_page, 0), coalesce(paragraph_index, 0), coalesce(part_index, 0), id) n FROM s),
+f AS (SELECT judgment_id, 0::BIGINT n, 0 cur FROM (SELECT DISTINCT judgment_id FROM r)
+  UNION ALL SELECT f.judgment_id, r.n, CASE WHEN try_cast(r.paragraph_number AS INT) = f.cur + 1 AND regexp_full_match(r.paragraph_number, '\\d+') THEN f.cur + 1 ELSE f.cur END FROM f JOIN r ON r.judgment_id = f.judgment_id AND r.n = f.n + 1)
+SELECT r.* EXCLUDE (n), f.cur paragraph FROM r JOIN f ON r.judgment_id = f.judgment_id AND r.n = f.n""")
 def paragraph_sequence(spark: SparkSession, d: str) -> DataFrame:
     s = _stage(spark, d).select("judgment_id", F.coalesce("pdf_page", F.lit(0)).alias("page"), F.coalesce("paragraph_index", F.lit(0)).alias("para"), F.coalesce("part_index", F.lit(0)).alias("part"), "id", "paragraph_number")
     return D.in_sequence(s, "judgment_id", ["page", "para", "part", "id"], "paragraph_number")
 
 
-@family.query()
+@family.query(f"""
+WITH RECURSIVE {_S}, r AS (SELECT judgment_id, id, strlen(coalesce(text, ''))::BIGINT bytes, row_number() OVER (PARTITION BY judgment_id ORDER BY id NULLS LAST) n FROM s),
+f AS (SELECT judgment_id, 0::BIGINT n, 0 no, 0::BIGINT held FROM (SELECT DISTINCT judgment_id FROM r)
+  UNION ALL SELECT f.judgment_id, r.n, CASE WHEN held > 0 AND held + bytes > 16384 THEN no + 1 ELSE no END, CASE WHEN held > 0 AND held + bytes > 16384 THEN bytes ELSE held + bytes END FROM f JOIN r ON r.judgment_id = f.judgment_id AND r.n = f.n + 1)
+SELECT r.judgment_id, r.id, r.bytes, f.no batch_no FROM r JOIN f ON r.judgment_id = f.judgment_id AND r.n = f.n""")
 def index_batches(spark: SparkSession, d: str) -> DataFrame:
     """Passages of each judgment in batches of at most 16 kB."""
     s = _stage(spark, d).select("judgment_id", "id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))

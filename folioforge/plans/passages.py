@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
+from folioforge.operators import layout as L
+from folioforge.operators import quality as U
 from folioforge.operators import sequence as Q
 from folioforge.sources.tables import table
 
@@ -132,27 +134,55 @@ def searchable_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _stage(spark, d).where(T.searchable(F.col("text"))).select("id")
 
 
-_METRICS = """length(text) n_chars, len(regexp_extract_all(text, '[A-Za-z]+')) n_words, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) n_alpha, length(regexp_replace(text, '[A-Za-z0-9\\s.,;:()''"/&-]', '', 'g')) n_odd"""
+_SIGNS = r"""[\p{L}\p{N}\s.,;:!?''\-()\[\]/"%&§₹–—]"""
+_QUALITY = f"""{_S}, c AS (SELECT word FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}'))) word FROM (SELECT DISTINCT id, text FROM s)) GROUP BY 1 HAVING count(*) >= 5),
+p AS (SELECT DISTINCT judgment_id, id, text, coalesce(text_source, '') <> 'embedded' scanned FROM s WHERE text IS NOT NULL),
+m AS (SELECT judgment_id, id, scanned, length(text) n_chars, len(regexp_extract_all(text, '[A-Za-z]{{3,}}')) n_words, len(regexp_extract_all(text, '\\S+')) n_tokens,
+  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: regexp_matches(t, '[A-Za-z][0-9!|;{{}}~][A-Za-z]|[A-Za-z][.!?,;:][A-Za-z]'))) n_suspicious,
+  length(regexp_replace(text, '\\s', '', 'g')) n_signs, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) n_alpha, length(regexp_replace(text, '{_SIGNS}', '', 'g')) n_odd, text FROM p),
+n AS (SELECT judgment_id, id, text, count(*) n_common FROM (SELECT judgment_id, id, text, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) word FROM p) JOIN c USING (word) GROUP BY 1, 2, 3),
+q AS (SELECT m.* EXCLUDE (text), coalesce(n_common, 0) n_common FROM m LEFT JOIN n ON m.judgment_id = n.judgment_id AND m.id IS NOT DISTINCT FROM n.id AND m.text = n.text)"""
+_SCORE = """round(greatest(0, least(1, 0.65 * coalesce(n_common / nullif(n_words, 0)::DOUBLE, 0) + 0.35 * least(coalesce(n_alpha / nullif(n_signs, 0)::DOUBLE, 0) / 0.95, 1)
+  - least(coalesce(n_suspicious / nullif(n_tokens, 0)::DOUBLE, 0) * 2, 0.1) - least(coalesce(n_odd / nullif(n_signs, 0)::DOUBLE, 0) * 5, 0.1))), 6)::DOUBLE"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    s = _stage(spark, d)
+    common = U.common_words(s.select("id", "text").distinct(), "text")
+    return U.text_metrics(s.withColumn("scanned", F.coalesce("text_source", F.lit("")) != "embedded"), ["judgment_id", "id", "scanned"], "text", common)
 
 
 @family.query(f"""
-WITH {_S}, m AS (SELECT id, {_METRICS} FROM s WHERE text <> ''),
-q AS (SELECT *, round(greatest(0, least(1, 0.65 * least(n_words * 6.0 / n_chars, 1) + 0.35 * least(n_alpha / 0.75 / n_chars, 1) - least(2.0 * n_odd / n_chars, 0.2))), 6)::DOUBLE quality FROM m)
-SELECT *, CASE WHEN quality < 0.75 THEN 'severe' WHEN quality < 0.9 THEN 'moderate' ELSE 'mild' END severity FROM q""")
+WITH {_QUALITY}, r AS (SELECT *, {_SCORE} quality FROM q)
+SELECT * EXCLUDE (judgment_id, scanned), CASE WHEN quality < 0.75 THEN 'severe' WHEN quality < 0.9 THEN 'moderate' ELSE 'mild' END severity FROM r""")
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, a quality in 0..1 and its bucket."""
-    t = F.col("text")
-    m = _stage(spark, d).where("text <> ''").select(
-        "id",
-        F.length(t).alias("n_chars"),
-        F.regexp_count(t, F.lit("[A-Za-z]+")).alias("n_words"),
-        F.length(F.regexp_replace(t, "[^A-Za-z]", "")).alias("n_alpha"),
-        F.length(F.regexp_replace(t, r"""[A-Za-z0-9\s.,;:()'"/&-]""", "")).alias("n_odd"),
-    )
-    n = F.col("n_chars")
-    q = 0.65 * F.least(F.col("n_words") * 6.0 / n, F.lit(1.0)) + 0.35 * F.least(F.col("n_alpha") / 0.75 / n, F.lit(1.0)) - F.least(2.0 * F.col("n_odd") / n, F.lit(0.2))
-    q = m.withColumn("quality", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), q)), 6))
-    return q.withColumn("severity", F.when(F.col("quality") < 0.75, "severe").when(F.col("quality") < 0.9, "moderate").otherwise("mild"))
+    """Counts, a quality in 0..1 and its bucket; common words are those of at least five passages."""
+    return U.rated(_metrics(spark, d)).drop("judgment_id", "scanned")
+
+
+_ROUTES = f"""{_QUALITY}, dq AS (SELECT judgment_id, count(*) pages, count(*) FILTER (n_chars < 40) missing, count(*) FILTER (scanned) scans, sum(n_common) n_common, sum(n_words) n_words, sum(n_alpha) n_alpha, sum(n_signs) n_signs,
+  sum(n_suspicious) n_suspicious, sum(n_tokens) n_tokens, sum(n_odd) n_odd FROM q GROUP BY 1),
+ds AS (SELECT *, {_SCORE} quality FROM dq),
+dr AS (SELECT judgment_id, pages, missing, scans, quality, CASE WHEN missing = pages THEN 'ocr_required' WHEN scans > 0 AND quality < 0.95 THEN 'reocr_recommended' WHEN missing > 0 THEN 'selective_ocr_required'
+  WHEN scans > 0 THEN 'existing_ocr_usable' ELSE 'digital_text' END route FROM ds)"""
+
+
+def _routes(m: DataFrame) -> DataFrame:
+    sums = m.groupBy("judgment_id").agg(F.count("*").alias("pages"), F.count_if(F.col("n_chars") < L.MIN_TEXT).alias("missing"), F.count_if("scanned").alias("scans"), *[F.sum(c).alias(c) for c in U.RATED])
+    route = L.document_route(F.col("pages"), F.col("missing"), F.col("scans"), F.col("quality"))
+    return U.rated(sums).select("judgment_id", "pages", "missing", "scans", "quality", route.alias("route"))
+
+
+@family.query(f"WITH {_ROUTES} SELECT * FROM dr")
+def document_routes(spark: SparkSession, d: str) -> DataFrame:
+    """What each judgment needs: the quality is that of all its text, from the sums of its passages' counts."""
+    return _routes(_metrics(spark, d))
+
+
+@family.query(f"WITH {_ROUTES} SELECT q.id, CASE WHEN n_chars < 40 THEN 'ocr' WHEN route = 'reocr_recommended' AND scanned THEN 'reocr' ELSE 'keep' END action FROM q JOIN dr USING (judgment_id)")
+def page_actions(spark: SparkSession, d: str) -> DataFrame:
+    m = _metrics(spark, d)
+    return m.join(_routes(m).select("judgment_id", "route"), "judgment_id").select("id", L.page_action(F.col("route"), F.col("n_chars"), F.col("scanned")).alias("action"))
 
 
 @family.query(r"""
@@ -195,11 +225,16 @@ def thread_last_turn(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("thread_id")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_click"))
 
 
-@family.query()
+@family.query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, round(value)::BIGINT c, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) n FROM events WHERE value IS NOT NULL),
+f AS (SELECT user_id, 0::BIGINT n, 0::BIGINT s, '' items FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT f.user_id, e.n, CASE WHEN e.c > 0 AND f.s + e.c <= 90 THEN f.s + e.c ELSE f.s END, CASE WHEN e.c > 0 AND f.s + e.c <= 90 THEN concat_ws(',', e.event_id::VARCHAR, nullif(f.items, '')) ELSE f.items END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1 WHERE e.n <= 8)
+SELECT user_id, items FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) r FROM f) WHERE r = 1""")
 def thread_context(spark: SparkSession, d: str) -> DataFrame:
-    """The newest turns of each thread that fit a budget; checked in the tests against a loop."""
+    """Of the newest eight turns of each thread those that fit a budget, newest first."""
     e = table(spark, d, "events").withColumn("cost", F.round(F.col("value")).cast("long"))
-    return Q.skipping_budget(e, "user_id", "event_id", "cost", "ts", 90, 8).select("user_id", F.array_join("items", ",").alias("items"))
+    return Q.skipping_budget(e, "user_id", "event_id", "cost", ["ts", "event_id"], 90, 8).select("user_id", F.array_join("items", ",").alias("items"))
 
 
 QUERIES, SQL = family.queries, family.sql

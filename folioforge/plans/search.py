@@ -42,12 +42,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @family.query(
-    _BM25.format(docs=_CHUNKS + f" WHERE try_cast(substr(decision_date, 1, 4) AS INT) BETWEEN {YEARS[0]} AND {YEARS[1]}", terms=TERMS)
-    + " SELECT id chunk_id, score, row_number() OVER (ORDER BY score DESC, id) \"rank\" FROM bm ORDER BY score DESC, id LIMIT 80"
+    _BM25.format(docs=_CHUNKS, terms=TERMS)
+    + f""", f2 AS (SELECT id, score FROM bm WHERE id IN (SELECT chunk_id FROM chunks WHERE try_cast(substr(decision_date, 1, 4) AS INT) BETWEEN {YEARS[0]} AND {YEARS[1]}))
+SELECT id chunk_id, score, row_number() OVER (ORDER BY score DESC, id) "rank" FROM f2 ORDER BY score DESC, id LIMIT 80"""
 )
 def bm25_year_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = _chunks(spark, d).where(F.expr("try_cast(substr(decision_date, 1, 4) AS INT)").between(*YEARS))
-    return S.ranked(S.bm25(rows, "chunk_id", F.col("chunk_text"), TERMS), [F.desc("score"), F.asc("chunk_id")], 80)
+    """The years filter the hits; the scores are those of the whole index."""
+    years = F.expr("try_cast(substr(decision_date, 1, 4) AS INT)").between(*YEARS)
+    return S.ranked(S.bm25(_chunks(spark, d), "chunk_id", F.col("chunk_text"), TERMS, only=years), [F.desc("score"), F.asc("chunk_id")], 80)
 
 
 @family.query(
@@ -68,20 +70,22 @@ def index_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.postings(table(spark, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-_TITLE = "Pellova Weavers Union v. State of Sarpura"
-_TITLE_WORDS = ["pellova", "weavers", "sarpura"]
+_TITLE = "Mining Co. v. Mills Ltd."
+_TITLE_WORDS = ["mining", "co", "mills", "ltd"]
 
 
 @family.query(rf"""
-WITH t AS (SELECT DISTINCT id, title, list_filter(regexp_extract_all(lower(title || ' ' || coalesce(citation, '')), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) w FROM judgments WHERE title IS NOT NULL),
-u AS (SELECT id, title, list_filter(w, lambda x, i: list_position(w, x) = i) w FROM t),
-s AS (SELECT id, title, len(list_intersect(w, {_TITLE_WORDS})) / 3.0 + CASE WHEN array_to_string(w, ' ') = '{" ".join(_TITLE_WORDS)}' THEN 0.5
-  WHEN contains(array_to_string(w, ' '), '{" ".join(_TITLE_WORDS)}') OR contains('{" ".join(_TITLE_WORDS)}', array_to_string(w, ' ')) THEN 0.2 ELSE 0 END x FROM u)
-SELECT id, title, round(x, 6) title_score FROM s WHERE x >= 0.3""")
+WITH t AS (SELECT DISTINCT id, title, list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) w,
+  list_filter(regexp_extract_all(lower(title || ' ' || coalesce(citation, '')), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) b FROM judgments WHERE title IS NOT NULL),
+u AS (SELECT id, title, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') w, list_distinct(b) b FROM t),
+s AS (SELECT id, title, len(list_intersect(b, {_TITLE_WORDS})) / 4.0 + CASE WHEN w = '{" ".join(_TITLE_WORDS)}' THEN 0.5 WHEN contains(w, '{" ".join(_TITLE_WORDS)}') OR contains('{" ".join(_TITLE_WORDS)}', w) THEN 0.2 ELSE 0 END x FROM u),
+d AS (SELECT DISTINCT id, title, round(x, 6) title_score FROM s WHERE x >= 0.6)
+SELECT * FROM d ORDER BY title_score DESC, id LIMIT 5""")
 def title_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The five judgments that a query names best, if it names them well enough."""
     j = table(spark, d, "judgments").select("id", "title", "citation").where("title IS NOT NULL").distinct()
-    score = T.title_score(_TITLE, F.concat_ws(" ", "title", F.coalesce("citation", F.lit(""))))
-    return j.select("id", "title", F.round(score, 6).alias("title_score")).where(F.col("title_score") >= 0.3).distinct()
+    s = j.select("id", "title", F.round(T.title_score(_TITLE, F.col("title"), F.col("citation")), 6).alias("title_score"))
+    return s.where(F.col("title_score") >= 0.6).distinct().orderBy(F.desc("title_score"), "id").limit(5)
 
 
 @family.query(rf"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ', ' learned counsel ')")
@@ -97,6 +101,16 @@ def slop_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(S.has_phrase(F.col("text"), ["section", "of"], slop=2)).select("doc_id").distinct()
 
 
+@family.query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') t FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(t) + 1)) i, t FROM w),
+a AS (SELECT doc_id, i FROM p WHERE t[i] = 'section'), b AS (SELECT doc_id, i FROM p WHERE t[i] = 'of'), c AS (SELECT doc_id, i FROM p WHERE t[i] = 'act')
+SELECT DISTINCT a.doc_id FROM a JOIN b USING (doc_id) JOIN c USING (doc_id) WHERE a.i < b.i AND b.i < c.i AND c.i - a.i - 2 <= 4""")
+def slop_match_three(spark: SparkSession, d: str) -> DataFrame:
+    """Three words with four others between them altogether."""
+    return table(spark, d, "documents").where(S.has_phrase(F.col("text"), ["section", "of", "act"], slop=4)).select("doc_id").distinct()
+
+
 @family.query(rf"""
 SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')), {TERMS})) matched FROM documents
 WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')), {TERMS})) >= floor(0.65 * 4)""")

@@ -10,14 +10,25 @@ def test_reasons(spark):
 
 
 def test_choice(spark):
-    df = spark.createDataFrame([("e", 0.5, "f", 0.9, 0.8, "n", 0.9), ("e", 0.5, "f", 60.0, 0.8, "n", 0.78), ("e", 0.9, "f", 0.9, 0.8, None, None), ("e", 0.5, None, None, None, None, None)], "a string, b double, c string, d double, e double, f string, g double")
-    got = [r.x.source for r in df.select(L.chosen_text(*[F.col(c) for c in "abcdefg"]).alias("x")).collect()]
-    assert got == ["fast", "neural", "embedded", "embedded"]
+    rows = [
+        ("keep", "e", "f", 92.0, 0.8, None, "n", 0.9, None, "embedded"),
+        ("ocr", "e", "f" * 50, 92.0, 0.2, None, "n", 0.9, None, "fast"),
+        ("ocr", "e", "f" * 50, 60.0, 0.8, None, "n", 0.78, None, "neural"),
+        ("ocr", "e", "f" * 50, 60.0, 0.8, None, "n", 0.7, None, "fast"),
+        ("reocr", "e", "f", 92.0, 0.8, "boom", "n", 0.1, None, "neural"),
+        ("ocr", "e", None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "a string, e string, f string, fc double, fq double, fe string, n string, nq double, ne string, want string")
+    got = df.select(L.chosen_text(*[F.col(c) for c in ("a", "e", "f", "fc", "fq", "fe", "n", "nq", "ne")]).alias("x"), "want").collect()
+    assert [r.x.source for r in got] == [r.want for r in got]
 
 
 def test_route(spark):
-    df = spark.createDataFrame([(0.9, True, False), (0.7, True, True), (0.5, False, False), (0.9, False, False)], "q double, s boolean, h boolean")
-    assert [r.x for r in df.select(L.page_route(F.col("q"), F.col("s"), F.col("h")).alias("x")).collect()] == ["ocr", "reocr", "reocr", "keep"]
+    rows = [(3, 3, 0, 0.99, "ocr_required"), (3, 1, 2, 0.9, "reocr_recommended"), (3, 1, 2, 0.96, "selective_ocr_required"), (3, 0, 1, 0.96, "existing_ocr_usable"), (3, 1, 0, 0.5, "selective_ocr_required"), (3, 0, 0, 0.5, "digital_text")]
+    df = spark.createDataFrame(rows, "p int, m int, s int, q double, want string")
+    assert all(r.x == r.want for r in df.select(L.document_route(*[F.col(c) for c in "pmsq"]).alias("x"), "want").collect())
+    pages = spark.createDataFrame([("digital_text", 10, False, "ocr"), ("reocr_recommended", 90, True, "reocr"), ("reocr_recommended", 90, False, "keep")], "r string, n int, s boolean, want string")
+    assert all(r.x == r.want for r in pages.select(L.page_action(F.col("r"), F.col("n"), F.col("s")).alias("x"), "want").collect())
 
 
 def test_margins(spark):

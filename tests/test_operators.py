@@ -64,6 +64,8 @@ def test_citation_row(spark):
     r = one(spark, D.citation_row(F.col("t")), t="[1970] 2 S.C.R. 100 relied on Para 4(2)")
     assert (r.citation, r.treatment, r.paragraphs) == ("[1970] 2 S.C.R. 100", "relied on", [4, 2])
     assert one(spark, D.citation_row(F.col("t")), t="[1970] 2 S.C.R. 100 relied on and overruled") is None
+    assert one(spark, D.citation_row(F.col("t")), t="[1970] 2 S.C.R. 100 not  followed").treatment == "not followed"
+    assert one(spark, D.citation_row(F.col("t")), t="[1970] 2 S.C.R. 100 disapproved").treatment == "disapproved"
 
 
 def test_judges(spark):
@@ -133,6 +135,8 @@ def test_gate(spark):
 def test_title_score(spark):
     assert one(spark, T.title_score("Rao v. State", F.col("t")), t="Rao v State") == pytest.approx(1.5)
     assert one(spark, T.title_score("Rao v. State", F.col("t")), t="") == pytest.approx(0.2)
+    assert one(spark, T.title_score("Rao v. State", F.col("t"), F.lit("[1970] 2 X.R. 9")), t="Rao v State") == pytest.approx(1.5)
+    assert one(spark, T.title_score("the state v. union", F.col("t")), t="Rao v State") == 0
     with pytest.raises(ValueError):
         T.query_words("!!")
 
@@ -149,17 +153,20 @@ def test_phrase(spark):
     assert one(spark, S.has_phrase(F.col("t"), ["a", "b"]), t="a c b") is False
     assert one(spark, S.has_phrase(F.col("t"), ["a", "b"], 2), t="a c d b") is True
     assert one(spark, S.has_phrase(F.col("t"), ["a", "b"], 2), t="a c d e b") is False
+    three = S.has_phrase(F.col("t"), ["a", "b", "c"], 2)
+    for t, want in ("a a b x x c", True), ("a b x x c", True), ("a x b x c", True), ("a x x b x c", False), ("b a c", False), ("aa b c", False):
+        assert one(spark, three, t=t) is want, t
 
 
 def test_budgets(spark):
     rng = random.Random(5)
     rows = [("g%d" % rng.randint(0, 3), i, rng.randint(1, 40)) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, o int, c int")
-    got = {r.g: r["items"] for r in W.skipping_budget(df, "g", "o", "c", "o", 70, 5).collect()}
+    got = {r.g: r["items"] for r in W.skipping_budget(df, "g", "o", "c", ["o"], 70, 5).collect()}
     for g in {r[0] for r in rows}:
         left, kept = 70, []
-        for _, o, c in sorted((r for r in rows if r[0] == g), key=lambda r: -r[1]):
-            if c <= left and len(kept) < 5:
+        for _, o, c in sorted((r for r in rows if r[0] == g), key=lambda r: -r[1])[:5]:
+            if 0 < c <= left:
                 kept.insert(0, str(o))
                 left -= c
         assert got[g] == kept
@@ -168,12 +175,12 @@ def test_budgets(spark):
     assert W.prefix_budget(big, ["g"], [F.col("o")], F.col("c"), 50, keep_first=True).count() == 1
 
 
-def test_budget_looks_at_all_items(spark):
-    # 50 newest items that never fit, then small old ones
-    rows = [("a", i, 99 if i >= 10 else 2) for i in range(60)] + [("b", 1, 3)]
+def test_budget_looks_at_the_newest(spark):
+    # none of the five newest fits: nothing older is looked at
+    rows = [("a", i, 99 if i >= 5 else 2) for i in range(10)] + [("b", 1, 3), ("b", 2, 99), ("b", 3, 0)]
     df = spark.createDataFrame(rows, "g string, o int, c int")
-    got = {r.g: r["items"] for r in W.skipping_budget(df, "g", "o", "c", "o", 70, 5).collect()}
-    assert got == {"a": ["5", "6", "7", "8", "9"], "b": ["1"]}
+    got = {r.g: r["items"] for r in W.skipping_budget(df, "g", "o", "c", ["o"], 70, 5).collect()}
+    assert got == {"a": [], "b": ["1"]}
 
 
 def test_merges(spark):
