@@ -34,6 +34,8 @@ _LINE = re.compile(r"\r\n|\r|\n")
 _ENDED = re.compile(r"[.?!:;][\"'”’)\]]*$")
 _PAGE_WORDS = {"p", "pp", "pg", "page", "pages", "of"}
 _DIGITS = str.maketrans("lIOoSBZ", "1100582")
+_FIRST = re.compile(r"\s*([0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*)\s+(?=[A-Z])")
+_LAST = re.compile(r"(?<=[.;:,?!\"”)])\s+([0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*)\s*$")
 _SEED = re.compile(r"[A-Z]{3}|[A-Z]\.[A-Z0-9]")
 _LOW = re.compile(r"[a-km-z]")  # l is often a misread I
 _NEXT = re.compile(r"\s+[^\sa-km-z]+(?!\S)")
@@ -57,6 +59,8 @@ def confusion_fold(pairs: list[tuple[str, str]]) -> dict[int, str]:
 
 def folded(word: str, fold: dict[int, str]) -> str:
     """A word in capitals (but for one sign at most) as its print; other words stay."""
+    if word.islower() or word[1:].islower() and len(word) > 3:
+        return word
     high = sum(c.isupper() or c.isdigit() for c in word)
     return word.upper().translate(fold) if high >= len(word) - (len(word) > 2) and any(c.isupper() for c in word) else word
 
@@ -136,7 +140,7 @@ def edge_lines(lines: list[str]) -> list[Edge]:
     for k in range(len(full) - 1, -1, -1):
         s = full[k][1]
         # a line that begins in lower case or ends in a comma goes on with a sentence
-        goes_on = (s[0].islower() or s[-1] in ",;" or s[-1] in "-‐‑‒¬\xad" and s[-2:-1].isalpha()) and number_of(s) is None
+        goes_on = s[0].islower() and not (s[0] in "plo" and number_of(s) is not None) or s[-1] in ",;" or s[-1] in "-‐‑‒¬\xad" and s[-2:-1].isalpha()
         if not goes_on and k == len(full) - 1:
             marks[k] = 1
         elif not goes_on:
@@ -296,20 +300,30 @@ class Remover:
 
     def __init__(self, heads: Heads):
         self.heads = heads
+        self.said: dict[str, int] = {}  # verdicts on segments met in this process, without digits
         flat = [t for t in heads.accepted if "…" not in t and len(t.split()) > 1]
         self.most = max((len(t.split()) for t in flat), default=0) + 8
         # last tokens with a sign of their own, by which heads in mixed case are found in running text
         ends = {t.split()[-1] for t in heads.accepted if not t.isupper() and re.search(r"[A-Za-z]", t.split()[-1]) and t.split()[-1] not in CLASSES and t.split()[-1][-1] in ")]"}
         mid = "|".join(re.escape(x) for x in sorted(ends))
-        self.end = re.compile(rf"(?<!\S)(?:{mid})(?!\S)") if ends else None
+        self.end = re.compile(rf"(?:{mid})(?!\S)") if ends else None
         self.links = {x for t in heads.accepted if not t.isupper() for x in t.split() if x[:1].islower() and x not in CLASSES} | {"of", "and", "&"}
 
+    def verdict(self, segment: str) -> int:
+        print_ = _NUM.sub("#", segment)
+        said = self.said.get(print_)
+        if said is None:
+            if len(self.said) > 100_000:
+                self.said.clear()
+            said = self.said[print_] = self.heads.verdict(print_)
+        return said
+
     def line_kinds(self, e: Edge) -> set[str]:
         """The kinds of furniture an edge line is: by its own place, or by its segments: one is known, and none is known to be none."""
         kinds = {"page_number" if number_of(s) is not None else "header" for s in e.segments}
         if e.interrupts and e.short:
             return kinds
-        says = [self.heads.verdict(s) for s in e.segments]
+        says = [self.verdict(s) for s in e.segments]
         named = [v for v, s in zip(says, e.segments) if number_of(s) is None]
         return kinds if min(says) >= 0 and max(named or says) > 0 else set()
 
@@ -341,7 +355,7 @@ class Remover:
                         gone.add(e.at)
             text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         else:
-            m = re.match(r"\s*([0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*)\s+(?=[A-Z])", text) or re.search(r"(?<=[.;:,?!\"”)])\s+([0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*)\s*$", text)
+            m = _FIRST.match(text) or _LAST.search(text, max(0, len(text) - 24))
             if m and doc is not None and page is not None and (n := number_of(m[1])) is not None:
                 asks.append(("page_number", f"{doc}|{n - page}"))
                 if asks[-1] in granted:
@@ -357,6 +371,8 @@ class Remover:
         if self.end:
             for m in self.end.finditer(text):
                 begin = m.start()
+                if begin and not text[begin - 1].isspace():
+                    continue
                 tokens = 0
                 while begin > 0 and tokens < self.most:
                     prev = re.search(r"(\S+)\s+$", text[max(0, begin - 80) : begin])
@@ -387,7 +403,7 @@ class Remover:
             while i < len(tokens) - 1:
                 for j in range(len(tokens) if last else min(len(tokens), i + self.most), i + 1, -1):
                     s = text[tokens[i][0] : tokens[j - 1][1]]
-                    says = self.heads.verdict(s) if s[-1] not in ",;:" and number_of(s) is None else 0
+                    says = self.verdict(s) if s[-1] not in ",;:" and number_of(s) is None else 0
                     if says > 0:
                         out.append((tokens[i][0], tokens[j - 1][1]))
                     if says:

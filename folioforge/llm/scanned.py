@@ -40,7 +40,8 @@ STRAY = "_~^°»«•■□▪|\\\\¦¤`´¨"
 _STRAY = re.compile(rf"(?<!\S)[{STRAY}]+(?!\S)")
 _BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)([{_HYPHENS}])(?:[ \t]*\n[ \t]*|[ \t]+)([^\W\d_]+)")
 _SOFT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([‐­¬])()([^\W\d_]+)")
-_TOKEN = re.compile(r"(?:\w|[!|¡](?=[a-z]))+")
+_TOKEN = re.compile(r"\w+(?:[!|¡](?=[a-z])\w*)*|(?:[!|¡](?=[a-z])\w*)+")
+_MARKED = re.compile(rf"[{STRAY}]")
 _LINE_HYPHEN = re.compile(rf"[{_HYPHENS}]\s")
 _SIGN = re.compile(r"[‐­¬]")
 
@@ -78,7 +79,7 @@ def _plain(body: str) -> str:
 
 def _forms(texts: DataFrame) -> DataFrame:
     """(form, n): counts of word forms, of compounds written ``a-b`` within a line, and of signs that stand alone."""
-    words = F.regexp_extract_all("text", F.lit(rf"(?:[\p{{L}}\p{{N}}_]|[!|¡](?=[a-z]))+|(?<!\S)[{STRAY}]+(?!\S)"), F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(rf"[\p{{L}}\p{{N}}_]+(?:[!|¡](?=[a-z])[\p{{L}}\p{{N}}_]*)*|(?:[!|¡](?=[a-z])[\p{{L}}\p{{N}}_]*)+|(?<!\S)[{STRAY}]+(?!\S)"), F.lit(0))
     joined = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))
     forms = F.concat(words, F.when(F.contains("text", F.lit("-")), F.transform(joined, F.lower)).otherwise(F.array()))
     return texts.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
@@ -171,7 +172,8 @@ def _asked(texts: DataFrame, common: frozenset[str], heads: Heads) -> DataFrame:
                 seen, body, divided, more = take_apart(t, remover, doc, page)
                 plain = _plain(body)
                 tokens = set(_TOKEN.findall(plain)) - common
-                tokens.update(_STRAY.findall(plain))
+                if _MARKED.search(plain):
+                    tokens.update(_STRAY.findall(plain))
                 open_ = [("misread", x) for x in tokens if not x.isdigit()]
                 open_ += [("hyphenation", f"{x}-{y}".lower() + ("" if h == "-" else "!")) for x, h, y in divided]
                 open_ = list(dict.fromkeys(open_ + more))
