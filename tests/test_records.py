@@ -57,7 +57,7 @@ def orphans(spark, stage, parents, gone, **kw):
     return orphan_rows([("s", s, "id", "judgment_id", "at")], (p, "id", "ingested_at"), (g, "judgment_id"), **kw)
 
 
-@pytest.mark.parametrize("kw", [{}, {"range_parents": 2, "batch_rows": 2, "sample_keys": 100}])
+@pytest.mark.parametrize("kw", [{}, {"range_parents": 2, "batch_rows": 2, "sample_keys": 100}, {"range_parents": 1, "batch_rows": 1, "sample_keys": 40}])
 def test_orphans(spark, kw):
     t1, t2 = T(2024, 1, 5), T(2024, 2, 5)
     stage = [("a", " MJ-1 ", t2, "x"), ("b", "mj-2", t1, "x"), ("c", "MJ-3", t1, "x"), ("d", None, t1, "x"), ("e", "MJ-9", None, "x"), ("e", "MJ-9", None, "x"), ("f", "MJ-2", None, "x"), ("g", "", t1, "x")]
