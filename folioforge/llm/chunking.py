@@ -1,9 +1,9 @@
 """Splitting oversized items at natural boundaries, by content-defined landmarks.
 
 A rolling hash over eight words marks landmarks; a piece is cut at the
-landmark of least hash among the allowed places, moved to the nearest place
-where the text pauses as strongly as it does anywhere there (paragraph,
-sentence, clause, comma). As the landmarks depend on the words around them
+landmark of least hash among the allowed places, moved to the nearest natural
+boundary there: the end of a sentence or paragraph, where there is none that of
+a clause, where there is none a comma. As the landmarks depend on the words around them
 only, an edit alters the pieces near it and no others.
 """
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.session import spread
+
 _WORD = re.compile(r"\S+")
 _SHORT = re.compile(r"(?:[^\W\d_]\.)+|(?:v|vs|Rs|No|Nos|Dr|Mr|Mrs|Ms|St|Co|Ltd|Art|Arts|Sec|Ss|cl|p|pp|para|Hon|viz|ie|eg|etc|Messrs|Smt|Shri|Jr|Sr|M)\.", re.I)
 _CLOSERS = "\"'”’)]»"
@@ -51,7 +53,7 @@ def _landmarks(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     c = np.array([crc32(text[a:b].encode("utf-8", "surrogatepass")) for a, b in spans], dtype=np.uint64)
     h = np.zeros(len(c), np.uint64)
     base = np.uint64(1)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(c))):
         h[j:] += c[: len(c) - j] * base
         base = base * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -59,8 +61,8 @@ def _landmarks(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _snap(rank: np.ndarray, lo: int, hi: int, at: int) -> int:
-    """The place in lo..hi (words before the cut) nearest to ``at`` among those of the strongest pause."""
-    r = rank[lo - 1 : hi]
+    """The natural boundary in lo..hi (words before the cut) nearest to ``at``: an end of a sentence or paragraph, else of a clause, else a comma, else ``at`` itself."""
+    r = np.minimum(rank[lo - 1 : hi], 3)
     places = np.nonzero(r == r.max())[0] + lo
     return int(places[np.abs(places - at).argmin()])
 
@@ -128,11 +130,11 @@ def search_chunks(df: DataFrame, limit: int = 220, overlap: int = 30) -> DataFra
     row's own, moved on by the pieces that earlier parts of the paragraph
     gained), piece, of_pieces, text, n_words, n_shared. Rows staged twice
     count once; a paragraph is what ids of one prefix before ``:part`` name.
-    A null part_index counts as 1; null texts give no row.
+    A null part_index counts as 1; a row without an id is a paragraph of its own; null texts give no row.
     """
     keep = ["id", "judgment_id", "pdf_page", "paragraph_index", "part_index"]
-    para = F.regexp_replace(F.coalesce("id", F.lit("")), r":part[^:]*$", "")
-    rows = df.select(*keep, "text").withColumn("para", para).withColumn("__h", F.xxhash64("text"))
+    para = F.coalesce(F.regexp_replace("id", r":part[^:]*$", ""), F.concat(F.lit("?"), F.xxhash64(*keep[1:], "text").cast("string")))
+    rows = spread(df.select(*keep, "text")).withColumn("para", para).withColumn("__h", F.xxhash64("text"))
     rows = rows.repartition("para").dropDuplicates(["para", "id", "__h"])
     cut = pieces(rows, "text", [*keep, "para"], limit, overlap)
     own = F.coalesce("part_index", F.lit(1))
@@ -143,5 +145,5 @@ def search_chunks(df: DataFrame, limit: int = 220, overlap: int = 30) -> DataFra
 
 def oversized_ids(df: DataFrame, id_col: str, text_col: str, limit: int = 220, overlap: int = 30) -> DataFrame:
     """(id): each id with a text that ``pieces`` divides."""
-    long = df.where(oversized(F.col(text_col), limit)).where(F.col(id_col).isNotNull())
+    long = spread(df.select(id_col, text_col)).where(oversized(F.col(text_col), limit)).where(F.col(id_col).isNotNull())
     return pieces(long, text_col, [id_col], limit, overlap).where("of_pieces > 1").select(F.col(id_col).alias("id")).distinct()
