@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators import documents as D
+from folioforge.operators import index as I
 from folioforge.operators import layout as L
 from folioforge.operators import quality as Q
 from folioforge.operators import search as S
 from folioforge.sources.tables import table
 
 from .passages import _stage
+from .search import _BM25, _CHUNKS, _chunk_index
 from .registry import Family
 
 family = Family()
@@ -121,19 +123,34 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return first_rows(s, ["user_id"], [F.desc("t"), F.asc("q")], 3, "n").select("user_id", "q", F.col("n").cast("long").alias("n"))
 
 
-_ASK = "Pellova Weavers Union v. State of Sarpura"
-
-
-@family.query()
+_ASK = "Municipal Board v. Collector"
+_ASKED = ["municipal", "board", "collector"]
+
+
+@family.query(
+    _BM25.format(docs=_CHUNKS, terms=["municipal", "board", "v", "collector"])
+    + rf""", c AS (SELECT DISTINCT chunk_id, judgment_id, title, citation FROM chunks),
+t AS (SELECT *, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) w,
+  list_filter(regexp_extract_all(lower(concat_ws(' ', title, citation)), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) b FROM c),
+u AS (SELECT * EXCLUDE (w, b), array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') w, list_distinct(b) b FROM t),
+ti AS (SELECT chunk_id, judgment_id, round(1 + len(list_intersect(b, {_ASKED})) / 3.0 + CASE WHEN w = '{" ".join(_ASKED)}' THEN 0.5 WHEN contains(w, '{" ".join(_ASKED)}') OR contains('{" ".join(_ASKED)}', w) THEN 0.2 ELSE 0 END, 6) score FROM u),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY judgment_id ORDER BY chunk_id) n FROM ti WHERE score >= 1.6),
+d2 AS (SELECT chunk_id, judgment_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) r FROM d1 WHERE n = 1 ORDER BY r LIMIT 5),
+h1 AS (SELECT bm.id chunk_id, c.judgment_id, bm.score, row_number() OVER (PARTITION BY c.judgment_id ORDER BY bm.score DESC, bm.id) n FROM bm JOIN c ON c.chunk_id = bm.id),
+h2 AS (SELECT chunk_id, judgment_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) r FROM h1 WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM d2 WHERE d2.judgment_id = h1.judgment_id) ORDER BY r LIMIT 10),
+a AS (SELECT *, true direct FROM d2 UNION ALL SELECT *, false FROM h2)
+SELECT chunk_id, judgment_id, score, direct FROM a ORDER BY direct DESC, r LIMIT 10"""
+)
 def search_titles_first(spark: SparkSession, d: str) -> DataFrame:
-    """Hybrid search of passages in which judgments named by the query come first, and their passages only once."""
-    c = table(spark, d, "chunks").select("chunk_id", "judgment_id", "title", "chunk_text").dropDuplicates(["chunk_id"])
-    terms = T.query_words(_ASK)
-    hits = S.bm25(c, "chunk_id", F.col("chunk_text"), terms, keep=["judgment_id"])
-    first = S.collapse(c.withColumn("s", F.round(1 + T.title_score(_ASK, F.col("title")), 6)).where("s >= 1.6"), "judgment_id", [F.asc("chunk_id")])
+    """Search of passages in which judgments named by the query come first, and their passages only once."""
+    c = table(spark, d, "chunks").select("chunk_id", "judgment_id", "title", "citation").dropDuplicates(["chunk_id"])
+    hits = I.bm25(_chunk_index(spark, d), T.query_words(_ASK))
+    named = c.withColumn("s", F.round(1 + T.title_score(_ASK, F.col("title"), F.col("citation")), 6)).where("s >= 1.6")
+    first = S.collapse(named, "judgment_id", [F.asc("chunk_id")])
     direct = S.ranked(first.select("chunk_id", "judgment_id", F.col("s").alias("score")), [F.desc("score"), F.asc("chunk_id")], 5, "r").withColumn("direct", F.lit(True))
-    rest = S.collapse(hits, "judgment_id", [F.desc("score"), F.asc("chunk_id")]).join(F.broadcast(direct.select("judgment_id")), "judgment_id", "left_anti")
-    rest = S.ranked(rest.select("chunk_id", "judgment_id", "score"), [F.desc("score"), F.asc("chunk_id")], 10, "r").withColumn("direct", F.lit(False))
+    rest = S.collapse(hits.select("chunk_id", "judgment_id", "score"), "judgment_id", [F.desc("score"), F.asc("chunk_id")])
+    rest = rest.join(F.broadcast(direct.select(F.col("judgment_id").alias("j"))), F.col("judgment_id").eqNullSafe(F.col("j")), "left_anti")  # five at most
+    rest = S.ranked(rest, [F.desc("score"), F.asc("chunk_id")], 10, "r").withColumn("direct", F.lit(False))
     return direct.unionByName(rest).orderBy(F.desc("direct"), "r").limit(10).drop("r")
 
 

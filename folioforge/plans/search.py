@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
+from folioforge.operators import index as I
 from folioforge.operators import search as S
 from folioforge.sources.tables import table
 
@@ -32,8 +33,18 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("chunk_id", "judgment_id", "title", "citation", "decision_date", "chunk_text", "pdf_page", "paragraph_number").dropDuplicates(["chunk_id"])
 
 
+def _doc_index(spark: SparkSession, d: str) -> I.Index:
+    return I.stored(table(spark, d, "documents").select("doc_id", "text"), "documents", "doc_id", F.col("text"))
+
+
+def _chunk_index(spark: SparkSession, d: str) -> I.Index:
+    """Of the served passages, once per id, with what a hit is filtered and collapsed by."""
+    c = _chunks(spark, d).select("chunk_id", "judgment_id", "decision_date", "chunk_text")
+    return I.stored(c, "chunks", "chunk_id", F.col("chunk_text"), ("judgment_id", "decision_date"))
+
+
 def _bm25_docs(spark: SparkSession, d: str, most: int = 80) -> DataFrame:
-    return S.ranked(S.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS), [F.desc("score"), F.asc("doc_id")], most)
+    return S.ranked(I.bm25(_doc_index(spark, d), TERMS), [F.desc("score"), F.asc("doc_id")], most)
 
 
 @family.query(_BM25.format(docs=_DOCS, terms=TERMS) + " SELECT id doc_id, score, row_number() OVER (ORDER BY score DESC, id) \"rank\" FROM bm ORDER BY score DESC, id LIMIT 80")
@@ -49,7 +60,7 @@ SELECT id chunk_id, score, row_number() OVER (ORDER BY score DESC, id) "rank" FR
 def bm25_year_filter(spark: SparkSession, d: str) -> DataFrame:
     """The years filter the hits; the scores are those of the whole index."""
     years = F.expr("try_cast(substr(decision_date, 1, 4) AS INT)").between(*YEARS)
-    return S.ranked(S.bm25(_chunks(spark, d), "chunk_id", F.col("chunk_text"), TERMS, only=years), [F.desc("score"), F.asc("chunk_id")], 80)
+    return S.ranked(I.bm25(_chunk_index(spark, d), TERMS, only=years).select("chunk_id", "score"), [F.desc("score"), F.asc("chunk_id")], 80)
 
 
 @family.query(
@@ -59,7 +70,7 @@ def bm25_year_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT id chunk_id, judgment_id, score FROM g WHERE r = 1"""
 )
 def bm25_collapse(spark: SparkSession, d: str) -> DataFrame:
-    hits = S.bm25(_chunks(spark, d), "chunk_id", F.col("chunk_text"), TERMS, keep=["judgment_id"])
+    hits = I.bm25(_chunk_index(spark, d), TERMS)
     return S.collapse(hits, "judgment_id", [F.desc("score"), F.asc("chunk_id")]).select("chunk_id", "judgment_id", "score")
 
 
@@ -67,18 +78,24 @@ def bm25_collapse(spark: SparkSession, d: str) -> DataFrame:
 WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term FROM documents)
 SELECT term, count(DISTINCT doc_id) df, count(*) cf FROM p GROUP BY term""")
 def index_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return S.postings(table(spark, d, "documents"), "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _doc_index(spark, d).terms()
+
+
+_TITLE = "Municipal Board v. Collector"
+_TITLE_WORDS = ["municipal", "board", "collector"]
 
 
-_TITLE = "Mining Co. v. Mills Ltd."
-_TITLE_WORDS = ["mining", "co", "mills", "ltd"]
+@family.query(_BM25.format(docs=_DOCS, terms=TERMS) + " SELECT id doc_id, score FROM bm")
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All scores without an index: two scans and one row of statistics."""
+    return S.bm25(table(spark, d, "documents"), "doc_id", F.col("text"), TERMS)
 
 
 @family.query(rf"""
 WITH t AS (SELECT DISTINCT id, title, list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) w,
   list_filter(regexp_extract_all(lower(title || ' ' || coalesce(citation, '')), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1 AND w NOT IN {tuple(T.TITLE_STOPS)}) b FROM judgments WHERE title IS NOT NULL),
 u AS (SELECT id, title, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') w, list_distinct(b) b FROM t),
-s AS (SELECT id, title, len(list_intersect(b, {_TITLE_WORDS})) / 4.0 + CASE WHEN w = '{" ".join(_TITLE_WORDS)}' THEN 0.5 WHEN contains(w, '{" ".join(_TITLE_WORDS)}') OR contains('{" ".join(_TITLE_WORDS)}', w) THEN 0.2 ELSE 0 END x FROM u),
+s AS (SELECT id, title, len(list_intersect(b, {_TITLE_WORDS})) / 3.0 + CASE WHEN w = '{" ".join(_TITLE_WORDS)}' THEN 0.5 WHEN contains(w, '{" ".join(_TITLE_WORDS)}') OR contains('{" ".join(_TITLE_WORDS)}', w) THEN 0.2 ELSE 0 END x FROM u),
 d AS (SELECT DISTINCT id, title, round(x, 6) title_score FROM s WHERE x >= 0.6)
 SELECT * FROM d ORDER BY title_score DESC, id LIMIT 5""")
 def title_candidates(spark: SparkSession, d: str) -> DataFrame:
