@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list[str] = ["records", "search", "browse", "passages", "pipeline", "documents", "layout"]
+FAMILIES: list[str] = ["records", "search", "browse", "passages", "pipeline", "documents", "layout", "requests", "curation"]
 
 
 def _families() -> list:

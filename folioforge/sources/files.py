@@ -67,12 +67,6 @@ def publish(df: DataFrame, root: str, name: str, version: str) -> str:
     return path
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of each file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def compare_listings(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(file, problem): files missing on one side or of another checksum."""
     both = local.select("file", F.col("sha256").alias("a")).join(remote.select("file", F.col("sha256").alias("b")), "file", "full")

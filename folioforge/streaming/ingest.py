@@ -28,16 +28,36 @@ def ingest_available(spark: SparkSession, source: str, schema, target: str, keys
         if number > 0:
             new = upsert(batch.sparkSession.read.schema(schema).parquet(f"{target}/v{number - 1}"), new, keys)
         new.write.mode("overwrite").parquet(f"{target}/v{number}")
+        drop_old(batch.sparkSession, target)
 
     stream.parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _versions(spark: SparkSession, target: str) -> tuple[object, list[int]]:
+    """(file system, numbers of the finished versions in order), on whatever store the table lies."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v")] if fs.exists(root) else []
+    done = [int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return fs, sorted(done)
+
+
 def latest(spark: SparkSession, target: str) -> DataFrame:
     """The table as the last finished batch left it."""
-    import glob
-
-    done = [int(p.rsplit("/v", 1)[1].split("/")[0]) for p in glob.glob(f"{target}/v*/_SUCCESS")]
-    return spark.read.parquet(f"{target}/v{max(done)}")
+    _, done = _versions(spark, target)
+    if not done:
+        raise ValueError(f"{target} has no finished version")
+    return spark.read.parquet(f"{target}/v{done[-1]}")
+
+
+def drop_old(spark: SparkSession, target: str, keep: int = 2) -> list[int]:
+    """Remove all finished versions but the last ``keep`` (at least two: a batch that is run again reads the one before)."""
+    fs, done = _versions(spark, target)
+    old = done[: -max(2, keep)]
+    for n in old:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{n}"), True)
+    return old
 
 
 def ledger_update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
