@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.sources import files as S
+from folioforge.sources import shards as H
 from folioforge.streaming import ingest as I
 
 
@@ -33,7 +34,7 @@ def test_batches_and_checksums(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in S.finished_batches(spark, str(tmp_path))] == ["b"]
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "f.txt").write_text("abc")
-    got = S.file_checksums(spark, str(tmp_path / "x"))
+    got = H.file_digests(spark, str(tmp_path / "x"))
     assert got.first().bytes == 3
     other = got.withColumn("sha256", F.lit("0"))
     assert S.compare_listings(got, other).first().problem == "differs"
