@@ -50,14 +50,20 @@ def build(df: DataFrame, id_col: str, text: Column, path: str, keep: tuple[str,
     is written by several tasks, and sorted by term, so that a scan skips row groups.
     """
     spark = df.sparkSession
-    docs = spread(df.select(id_col, *keep, words(text).alias("w")).where("w IS NOT NULL"))
-    each = docs.select(id_col, *keep, F.size("w").alias("n"), F.explode("w").alias("term")).groupBy("term", id_col, *keep, "n").agg(F.count("*").cast("int").alias("tf"))
+    texts = spread(df.select(id_col, *keep, text.alias("__t")).where("__t IS NOT NULL"))
+    # a generator keeps the words from being taken apart anew for every column that uses them
+    once = F.explode(F.transform(F.array(words(F.col("__t"))), lambda w: F.struct(w.alias("w"), F.size(w).alias("n")))).alias("x")
+    docs = texts.select(id_col, *keep, once)
+    each = docs.select(id_col, *keep, F.col("x.n").alias("n"), F.explode("x.w").alias("term")).groupBy("term", id_col, *keep, "n").agg(F.count("*").cast("int").alias("tf"))
     each = each.withColumn("bucket", _bucket(F.col("term"), buckets))
     cut_ = each.repartition(F.col("bucket"), F.pmod(F.xxhash64(id_col), F.lit(salts))).sortWithinPartitions("bucket", "term", id_col)
     cut_.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     p = spark.read.parquet(f"{path}/postings")
     p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{path}/terms")
-    docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # last: its mark says that the index is whole
+    total = p.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("cf"))
+    stats = df.select(text.alias("t")).where("t IS NOT NULL").agg(F.count("*").alias("n_docs")).crossJoin(total)  # one row each
+    # last: its mark says that the index is whole
+    stats.select("n_docs", F.try_divide(F.col("cf").cast("double"), F.col("n_docs")).alias("avg_n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return Index(spark, path, id_col, tuple(keep), buckets)
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.functions.text import quality_counts, quality_score
 
+_WORDS = re.compile("[a-z]{3,}")
 RATED = ["n_common", "n_words", "n_alpha", "n_signs", "n_suspicious", "n_tokens", "n_odd"]
 
 
@@ -70,13 +75,18 @@ def common_words(df: DataFrame, text: str, least: int = 5, most: int = 50_000) -
 
 
 def text_metrics(df: DataFrame, keys: list[str], text: str, common: DataFrame) -> DataFrame:
-    """(keys..., counts, n_common): the counts of ``quality_counts`` and the words found in ``common`` (word); rows of one key and text count once."""
-    rows = df.where(F.col(text).isNotNull()).withColumn("__h", F.xxhash64(text))
-    counts = rows.select(*keys, "__h", *[c.alias(n) for n, c in quality_counts(F.col(text)).items()]).dropDuplicates([*keys, "__h"])
-    each = rows.select(*keys, "__h", text).dropDuplicates([*keys, "__h"]).select(*keys, "__h", F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
-    n = each.join(F.broadcast(common), "word").groupBy(*keys, "__h").agg(F.count("*").alias("n_common"))
-    same = [counts[k].eqNullSafe(n[k]) for k in [*keys, "__h"]]
-    return counts.join(n, reduce(lambda a, b: a & b, same), "left").select(*[counts[c] for c in counts.columns if c != "__h"], F.coalesce(n["n_common"], F.lit(0)).alias("n_common"))
+    """(keys..., counts, n_common): the counts of ``quality_counts`` and the words found in ``common`` (word, bounded by ``common_words``); null texts give no row."""
+    known = frozenset(r.word for r in common.collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [sum(map(known.__contains__, _WORDS.findall(t.lower()))) for t in b.column("__t").to_pylist()]
+            kept = [c for c in b.schema.names if c != "__t"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64())], [*kept, "n_common"])
+
+    rows = df.where(F.col(text).isNotNull()).select(*keys, *[c.alias(n) for n, c in quality_counts(F.col(text)).items()], F.col(text).alias("__t"))
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "__t"), T.StructField("n_common", T.LongType())])
+    return rows.mapInArrow(count, schema)
 
 
 def rated(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from folioforge.functions import text as T
 from folioforge.operators import layout as L
 from folioforge.operators import quality as U
 from folioforge.operators import sequence as Q
+from folioforge.session import spread
 from folioforge.sources.tables import table
 
 from .registry import Family
@@ -19,7 +20,7 @@ _ORDER = "coalesce(pdf_page, 0), coalesce(paragraph_index, 0), coalesce(part_ind
 
 
 def _stage(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "ingest_chunks_stage").where("judgment_id IS NOT NULL")
+    s = spread(table(spark, d, "ingest_chunks_stage").where("judgment_id IS NOT NULL"))
     return s.select("id", "judgment_id", "pdf_page", "paragraph_index", "paragraph_number", "part_index", "text", "text_source").distinct()
 
 
@@ -147,9 +148,9 @@ _SCORE = """round(greatest(0, least(1, 0.65 * coalesce(n_common / nullif(n_words
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    s = _stage(spark, d)
-    common = U.common_words(s.select("id", "text").distinct(), "text")
-    return U.text_metrics(s.withColumn("scanned", F.coalesce("text_source", F.lit("")) != "embedded"), ["judgment_id", "id", "scanned"], "text", common)
+    rows = _stage(spark, d).select("judgment_id", "id", "text", (F.coalesce("text_source", F.lit("")) != "embedded").alias("scanned")).distinct()
+    common = U.common_words(spread(table(spark, d, "ingest_chunks_stage").where("judgment_id IS NOT NULL").select("id", "text")).distinct(), "text")
+    return U.text_metrics(rows, ["judgment_id", "id", "scanned"], "text", common)
 
 
 @family.query(f"""
