@@ -125,12 +125,15 @@ class Model:
 
     def _prepare(self) -> None:
         """Empty look-ups: written word to known form, trigram to its row of log-probabilities."""
-        self.made: list[tuple[float, ...]] = []
-        self.rows = np.zeros((0, len(self.tri)))
+        self.made = 0
+        self.rows = np.empty((1024, len(self.tri)))
 
         def place(g: tuple[str, str, str]) -> int:
-            self.made.append(self._logs(g))
-            return len(self.made) - 1
+            if self.made == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+            self.rows[self.made] = self._logs(g)
+            self.made += 1
+            return self.made - 1
 
         self.place = _Lookup(place)
         self.token = _Lookup(lambda w: (self._known([f]) if (f := _form(w)) else [""])[0])
@@ -220,8 +223,6 @@ class Model:
             starts.append(len(ids))
             t = ["<s>", "<s>", *t, "</s>"]
             ids += map(self.place.__getitem__, zip(t, t[1:], t[2:]))
-        if len(self.rows) < len(self.made):
-            self.rows = np.array(self.made) if len(self.rows) * 2 < len(self.made) else np.concatenate([self.rows, np.array(self.made[len(self.rows) :])])
         return np.add.reduceat(self.rows[ids], starts, axis=0), np.diff([*starts, len(ids)])
 
     def score(self, s: list[str]) -> tuple[list[float], int]:
@@ -233,7 +234,7 @@ class Model:
 
     def judge(self, text: str, margin: float) -> tuple[list[float], set[int]]:
         """Best length-normalised log-likelihood ratio of each class over the sentences, and the classes found."""
-        if not self.ready or len(self.made) > 1_000_000 or len(self.token) > 500_000:
+        if not self.ready or self.made > 1_000_000 or len(self.token) > 500_000:
             self._prepare()
         plain = text.isascii() and not _SPACED.search(text)
         told = []
