@@ -1,8 +1,9 @@
 """Most similar vectors for every vector.
 
-Vectors are spread over shards by a tree of coarse codebooks, each shard builds
-its graph (``hnsw.Graph``) and answers for its rows, and the shards' answers
-are merged per id. A row goes to every cell whose centre is at most ``margin``
+Vectors are spread over shards by a tree of coarse codebooks, each shard answers
+for its rows, from its graph (``hnsw.Graph``) or, where near ones only are asked
+for, by products of its rows (``near_rows``), and the shards' answers are merged
+per id. A row goes to every cell whose centre is at most ``margin``
 less similar to it than the nearest one, but to ``most_cells`` at most, so rows
 near a border meet in some shard and the work grows with the rows. A cell of
 more than ``limit`` rows is divided by a codebook of its own, as often as
@@ -127,6 +128,66 @@ def nearest_cells(x: np.ndarray, centres: np.ndarray, margin: float, most: int)
     return np.nonzero(ok)
 
 
+def _offer(x: np.ndarray, asking: np.ndarray, others: np.ndarray, near: np.ndarray, sim: np.ndarray, floor: np.float32, block: int = 512, width: int = 4096) -> None:
+    """Enter in ``near``/``sim`` of the rows ``asking`` of x what is nearer among its rows ``others`` and more similar than ``floor``."""
+    k = near.shape[1]
+    for a in range(0, len(asking), block):
+        q = asking[a : a + block]
+        v = x[q]
+        for b in range(0, len(others), width):
+            o = others[b : b + width]
+            s = v @ x[o].T
+            r, c = np.divmod(np.flatnonzero(s > np.maximum(sim[q, -1], floor)[:, None]), len(o))
+            if len(r) > 8 * k * len(q) and len(o) > k + 1:  # a dense group: its k + 1 nearest hold the k wanted, whether a row is among its others or not
+                c = np.argpartition(-s, k, axis=1)[:, : k + 1].ravel()
+                r = np.repeat(np.arange(len(q)), k + 1)
+                ok = s[r, c] > np.maximum(sim[q, -1], floor)[r]
+                r, c = r[ok], c[ok]
+            i, u = o[c], s[r, c]
+            ok = i != q[r]
+            r, i, u = r[ok], i[ok], u[ok]
+            if not len(r):
+                continue
+            at = np.lexsort((i, -u, r))
+            r, i, u = r[at], i[at], u[at]
+            start = np.r_[True, r[1:] != r[:-1]]
+            rank = np.arange(len(r)) - np.maximum.accumulate(np.where(start, np.arange(len(r)), 0))
+            row, node, keep = np.cumsum(start) - 1, q[r[start]], rank < k
+            new_i, new_s = np.full((len(node), k), -1, near.dtype), np.full((len(node), k), -2.0, np.float32)
+            new_i[row[keep], rank[keep]], new_s[row[keep], rank[keep]] = i[keep], u[keep]
+            known = (new_i[:, :, None] == near[node][:, None, :]).any(2)
+            new_s[known] = -2.0
+            all_i, all_s = np.concatenate([near[node], new_i], 1), np.concatenate([sim[node], new_s], 1)
+            top = np.lexsort((all_i, -all_s), axis=1)[:, :k]
+            near[node], sim[node] = np.take_along_axis(all_i, top, 1), np.take_along_axis(all_s, top, 1)
+
+
+def near_rows(x: np.ndarray, k: int, least: float, margin: float = 0.15, cell_rows: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, cosines) of the ``k`` nearest others of each row of x at ``least`` or more, nearest first; free places hold -1 and -2.0.
+
+    Every row is held against those of its cell of about ``cell_rows`` rows, and
+    against all rows of other cells whose centres are at most ``margin`` less
+    similar to either than its own: cells cost no copies here, so the margin is wide.
+    """
+    n, floor = len(x), np.nextafter(np.float32(least), np.float32(-3))
+    near, sim = np.full((n, k), -1, np.int64), np.full((n, k), -2.0, np.float32)
+    every, cells = np.arange(n), -(-n // cell_rows)
+    if cells > 1:
+        centres = codebook(x[np.random.default_rng(13).choice(n, min(n, 64 * cells), replace=False)], cells)
+        s = x @ centres.T
+        home = s.argmax(1)
+        within = s >= s.max(1, keepdims=True) - margin
+    if cells < 2 or within.mean() > 0.5:
+        _offer(x, every, every, near, sim, floor)
+        return near, sim
+    for j in range(len(centres)):
+        own = home == j
+        ours, guests = np.nonzero(own)[0], np.nonzero(within[:, j] & ~own)[0]
+        _offer(x, ours, np.nonzero(within[:, j])[0], near, sim, floor)
+        _offer(x, guests, ours, near, sim, floor)
+    return near, sim
+
+
 def divided(rows: DataFrame, big: DataFrame, shard_rows: int, margin: float, most_cells: int, dim: int, fan: int = 256, per_centre: int = 64, task_rows: int = 100_000) -> DataFrame:
     """(cell, ids, vec) of the cells ``big`` (cell, n), each divided into at most ``fan`` cells by a codebook of its own.
 
@@ -177,6 +238,7 @@ def similar_vectors(
     sample_rows: int = 20_000,
     links: int = 16,
     ef: int = 48,
+    graph: bool = True,
 ) -> DataFrame:
     """(id, neighbours array<struct<similarity double, id string>>), nearest first, at most ``k``.
 
@@ -184,7 +246,9 @@ def similar_vectors(
     ``min_similarity`` gives no row. Equal similarities are ordered by id. The
     first codebook is fitted on at most about ``sample_rows`` vectors (those of
     the smallest id hashes), the codebooks of large cells on samples of their
-    own; every vector is indexed and asked for.
+    own; every vector is indexed and asked for. Without ``graph`` a shard's rows
+    are held against each other (``near_rows``), which finds all that meet in a
+    shard and suits a ``min_similarity`` that few rows reach.
     """
     rows = distinct_vectors(unit_vectors(df, id_col, text_col, dim), df.count(), k + 1)
     vectors = rows.where("vec IS NOT NULL").select("ids", "vec")
@@ -204,15 +268,24 @@ def similar_vectors(
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), b.column("ids").take(take), b.column("vec").take(take)], ["cell", "ids", "vec"])
 
-    # cells of more than a shard's limit are divided, level by level; each level has at most that share of cells of the one before
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.bincount(nearest_cells(_matrix(b.column("vec"), dim), centres, margin, most_cells)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(n)[0]), pa.array(n[n > 0])], ["cell", "n"])
+
+    # cells of more than a shard's limit are divided, level by level; each level has at most that share of cells of the one before.
+    # The first level is routed anew where it is read: its rows on disk would be as large as the shuffle to the shards.
     routed = vectors.mapInArrow(route, "cell long, ids array<string>, vec binary")
     ready = None
     for level in range(4 if n > limit else 0):
-        routed = cut(routed)
-        sizes = routed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-        if sizes.isEmpty():
+        if level:
+            routed = cut(routed)
+            sizes = routed.groupBy("cell").agg(F.count("*").alias("n"))
+        else:
+            sizes = vectors.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        big = cut(sizes.where(F.col("n") > limit))
+        if big.isEmpty():
             break
-        big = cut(sizes)
         small = routed.join(big.select("cell"), "cell", "left_anti").select(F.concat_ws(":", F.lit(str(level)), "cell").alias("shard"), "ids", "vec")
         ready = small if ready is None else ready.unionByName(small)
         routed = divided(routed, big, shard_rows, margin, most_cells, dim)
@@ -222,8 +295,8 @@ def similar_vectors(
     def answer(shard: pa.Table) -> pa.Table:
         shard = shard.append_column("first", pc.list_element(shard.column("ids"), 0)).sort_by("first")
         ids = shard.column("ids").combine_chunks()
-        g = Graph(_matrix(shard.column("vec"), dim), k, links=links, ef=ef)
-        near, sim = g.neighbours()
+        x = _matrix(shard.column("vec"), dim)
+        near, sim = Graph(x, k, links=links, ef=ef).neighbours() if graph else near_rows(x, k, min_similarity)
         near, sim = near[:, :k], sim[:, :k]
         r, c = np.nonzero(sim >= max(min_similarity, -1.5))
         shared = np.nonzero(pc.list_value_length(ids).to_numpy(zero_copy_only=False) > 1)[0]
@@ -250,9 +323,10 @@ def similar_rows(df: DataFrame, id_col: str, text_col: str, k: int = 5, **more)
 def similar_pairs(df: DataFrame, id_col: str, text_col: str, k: int = 5, min_similarity: float = 0.85, **more) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the ``k`` most similar of every id that has ``k`` at ``min_similarity``.
 
-    Near ones are found with a smaller graph and margin than ``similar_vectors`` needs for rows without any.
+    A row of which one near one is missed may seem to have fewer than ``k`` and lose all its pairs, so shards are
+    searched in full and the margin between them is as wide as near ones are apart.
     """
-    more = {"shard_rows": 16_000, "margin": 0.05, "links": 12, "ef": 24} | more
+    more = {"shard_rows": 16_000, "limit": 128_000, "margin": 0.1, "graph": False} | more
     near = similar_vectors(df, id_col, text_col, k, min_similarity, **more).where(F.size("neighbours") == k)
     pairs = near.select("id", F.explode("neighbours.id").alias("o"))
     return pairs.select(F.least("id", "o").alias("id_a"), F.greatest("id", "o").alias("id_b")).distinct()

@@ -147,3 +147,32 @@ def test_rows_of_all(spark):
     assert all(v == pytest.approx(s[int(i[2:]), int(o[2:])], abs=1e-5) for i, g in got.items() for o, v in g.items())
     hit = [len({f"id{j:04d}" for j in t} & set(got[f"id{i:04d}"])) / 5 for i, t in enumerate(true)]
     assert np.mean(hit[240:]) >= 0.9 and np.mean(hit[:240]) >= 0.9
+
+
+@pytest.mark.parametrize("kw", [{}, {"shard_rows": 1000, "limit": 3000, "sample_rows": 2000}])
+def test_no_pair_is_missed(spark, kw):
+    """Groups of six: whoever misses one of five near ones loses all its pairs."""
+    x = cluster(700, 6, 0.03, 21, alone=1800)
+    df = spark.createDataFrame([(f"id{i:04d}", literal(v)) for i, v in enumerate(x)], "id string, embedding_text string")
+    got = {tuple(r) for r in S.similar_pairs(df, "id", "embedding_text", **kw).collect()}
+    true, s = brute(x, 5)
+    want = {tuple(sorted((f"id{i:04d}", f"id{j:04d}"))) for i, t in enumerate(true) if s[i, t].min() >= 0.85 for j in t}
+    assert len(want) > 10_000 and len(want - got) <= len(want) / 5000 and len(got - want) <= len(want) / 5000
+
+
+@pytest.mark.parametrize("noise", [1e-8, 0.02])
+def test_near_rows(noise):
+    """All rows at the least similarity, in cells, in dense groups and among rounding, are found."""
+    r = np.random.default_rng(6)
+    x = np.vstack([cluster(300, 7, 0.04, 22, alone=2000), r.normal(size=(1, 64)) / 8 + noise * r.normal(size=(1500, 64))]).astype(np.float32)
+    x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+    true, s = brute(x, 5)
+    for cells in (100, 400, 10_000):
+        near, sim = S.near_rows(x, 5, 0.85, cell_rows=cells)
+        want = np.take_along_axis(s, true, 1)
+        want[want < 0.85] = -2
+        assert (np.abs(sim - want) < 1e-6).mean() > 0.9999
+        found = near >= 0
+        assert np.allclose(sim[found], s[np.nonzero(found)[0], near[found]], atol=1e-6) and (sim[~found] == -2).all()
+        assert not (near == np.arange(len(x))[:, None]).any() and all(len(set(n[n >= 0])) == (n >= 0).sum() for n in near)
+    assert S.near_rows(x[:1], 5, 0.85)[0].tolist() == [[-1] * 5] and S.near_rows(x[:0], 5, 0.85)[0].shape == (0, 5)
