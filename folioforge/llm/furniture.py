@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from folioforge.session import cut
 
 _NUM = re.compile(r"(?<![^\W_])[0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*(?![^\W_])")
+_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"['’]")
 _SPACES = re.compile(r"\s{2,}|\t")
@@ -36,12 +37,21 @@ _PAGE_WORDS = {"p", "pp", "pg", "page", "pages", "of"}
 _DIGITS = str.maketrans("lIOoSBZ", "1100582")
 _FIRST = re.compile(r"\s*([0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*)\s+(?=[A-Z])")
 _LAST = re.compile(r"(?<=[.;:,?!\"”)])\s+([0-9lIOoSBZ]*[0-9][0-9lIOoSBZ]*)\s*$")
-_SEED = re.compile(r"[A-Z]{3}|[A-Z]\.[A-Z0-9]")
+_SEED = re.compile(r"[A-Z](?:[A-Z]{2}|\.[A-Z0-9])")
 _LOW = re.compile(r"[a-km-z]")  # l is often a misread I
 _NEXT = re.compile(r"\s+[^\sa-km-z]+(?!\S)")
 CLASSES = ("A", "Aa", "a")
 
 
+def lines_of(text: str) -> list[str]:
+    return _LINE.split(text) if "\r" in text else text.split("\n")
+
+
+def numbered(text: str, by: str = "#") -> str:
+    """``text`` with ``by`` for its numbers."""
+    return _NUM.sub(by, text) if _DIGIT.search(text) else text
+
+
 def confusion_fold(pairs: list[tuple[str, str]]) -> dict[int, str]:
     """One sign for all capitals and digits that ``pairs`` (printed, seen) let stand for each other."""
     up: dict[str, str] = {}
@@ -65,25 +75,39 @@ def folded(word: str, fold: dict[int, str]) -> str:
     return word.upper().translate(fold) if high >= len(word) - (len(word) > 2) and any(c.isupper() for c in word) else word
 
 
-def templates(segment: str, literal: frozenset[str], fold: dict[int, str]) -> list[str]:
-    """A segment's templates, finest first: with the literal words, with short words only, and with one literal word each."""
+def reduced(token: str, literal: frozenset[str], fold: dict[int, str]) -> list[str]:
+    """A token as it stands in templates: with the literal words, and with short words only."""
+
+    def replace(m: re.Match, all_words: bool) -> str:
+        w = m[0]
+        g = folded(w, fold)
+        if len(w) <= 3 or all_words and g in literal:
+            return g
+        return "A" if g.isupper() else "Aa" if w[0].isupper() else "a"
+
+    found = []
+    for all_words in True, False:
+        t = _WORD.sub(lambda m: replace(m, all_words), token)
+        bare = t.rstrip(",.")
+        found.append(bare if bare in CLASSES else t)
+    return found
+
+
+def templates(segment: str, literal: frozenset[str], fold: dict[int, str], known: dict[str, list[str]] | None = None) -> list[str]:
+    """A segment's templates, finest first: with the literal words, with short words only, and with one literal word each.
+
+    ``known`` keeps the tokens reduced before, of the same ``literal`` and ``fold``.
+    """
     fine: list[str] = []
     short: list[str] = []
-    for token in _NUM.sub("#", _MARKS.sub("", segment)).split():
-        kept = []
-
-        def replace(m: re.Match, all_words: bool) -> str:
-            w = m[0]
-            g = folded(w, fold)
-            if len(w) <= 3 or all_words and g in literal:
-                kept.append(g)
-                return g
-            return "A" if g.isupper() else "Aa" if w[0].isupper() else "a"
-
-        for out, all_words in (fine, True), (short, False):
-            t = _WORD.sub(lambda m: replace(m, all_words), token)
-            bare = t.rstrip(",.")
-            t = bare if bare in CLASSES else t
+    known = {} if known is None else known
+    if len(known) > 100_000:
+        known.clear()
+    for token in numbered(_MARKS.sub("", segment)).split():
+        both = known.get(token)
+        if both is None:
+            both = known[token] = reduced(token, literal, fold)
+        for out, t in zip((fine, short), both):
             if not out or out[-1] != t or t not in CLASSES:
                 out.append(t)
     found = [" ".join(fine), " ".join(short)]
@@ -101,11 +125,13 @@ def templates(segment: str, literal: frozenset[str], fold: dict[int, str]) -> li
 
 def print_of_line(line: str, fold: dict[int, str]) -> str:
     """A line without digits, blanks and signs, confusable signs made one."""
-    return "".join(folded(w, fold).upper() for w in _WORD.findall(_NUM.sub("", line)))
+    return "".join(folded(w, fold).upper() for w in _WORD.findall(numbered(line, "")))
 
 
 def number_of(segment: str) -> int | None:
     """The page number a segment consists of, if it is nothing else: signs and words for "page" beside it only."""
+    if not _DIGIT.search(segment):
+        return None
     numbers = _NUM.findall(segment)
     rest = _NUM.sub("", segment)
     if not 1 <= len(numbers) <= 2 or any(w.lower() not in _PAGE_WORDS for w in _WORD.findall(rest)):
@@ -147,10 +173,11 @@ def edge_lines(lines: list[str]) -> list[Edge]:
             if len(s) + 1 + len(following.split(None, 1)[0]) <= width:
                 marks[k] = 2
                 continue
-            long = [w for w in _WORD.findall(_NUM.sub("", s)) if len(w) > 3]
-            if not s[-1].islower() and 3 * sum(w[0].islower() for w in long) <= len(long):
-                marks[k] = 3 if s[-1] == ")" or s == s.upper() else 1
-                continue
+            if not s[-1].islower():
+                long = [w for w in _WORD.findall(numbered(s, "")) if len(w) > 3]
+                if 3 * sum(w[0].islower() for w in long) <= len(long):
+                    marks[k] = 3 if s[-1] == ")" or s == s.upper() else 1
+                    continue
         following = s
     out: list[Edge] = []
     k = 0
@@ -180,9 +207,9 @@ class Heads:
     rejected: frozenset[str] = frozenset()
     fold: dict[int, str] = field(default_factory=dict)
 
-    def verdict(self, segment: str) -> int:
+    def verdict(self, segment: str, known: dict[str, list[str]] | None = None) -> int:
         """1 if a template says furniture and no finer one that it is none, -1 if the finest says that it is none, else 0."""
-        for i, t in enumerate(templates(segment, self.literal, self.fold)):
+        for i, t in enumerate(templates(segment, self.literal, self.fold, known)):
             if t in self.accepted:
                 return 1
             if t in self.rejected:
@@ -200,11 +227,11 @@ def _docs(texts: DataFrame, fold: dict[int, str]) -> DataFrame:
         for b in batches:
             found: Counter = Counter()
             for doc, page, t in zip(b.column("doc").to_pylist(), b.column("page").to_pylist(), b.column("text").to_pylist()):
-                for e in edge_lines(_LINE.split(t)):
+                for e in edge_lines(lines_of(t)):
                     for s in e.segments:
                         number = number_of(s)
                         offset = number - page if number is not None and page is not None else None
-                        found[doc, page, _NUM.sub("#", s), offset, e.interrupts and e.short] += 1
+                        found[doc, page, numbered(s), offset, e.interrupts and e.short] += 1
             rows = list(found)
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_()])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([found[r] for r in rows], pa.int64())], ["doc", "page", "segment", "offset", "evidence", "n"])
@@ -301,6 +328,7 @@ class Remover:
     def __init__(self, heads: Heads):
         self.heads = heads
         self.said: dict[str, int] = {}  # verdicts on segments met in this process, without digits
+        self.reduced: dict[str, list[str]] = {}  # tokens of such segments, as templates have them
         flat = [t for t in heads.accepted if "…" not in t and len(t.split()) > 1]
         self.most = max((len(t.split()) for t in flat), default=0) + 8
         # last tokens with a sign of their own, by which heads in mixed case are found in running text
@@ -310,12 +338,12 @@ class Remover:
         self.links = {x for t in heads.accepted if not t.isupper() for x in t.split() if x[:1].islower() and x not in CLASSES} | {"of", "and", "&"}
 
     def verdict(self, segment: str) -> int:
-        print_ = _NUM.sub("#", segment)
+        print_ = numbered(segment)
         said = self.said.get(print_)
         if said is None:
             if len(self.said) > 100_000:
                 self.said.clear()
-            said = self.said[print_] = self.heads.verdict(print_)
+            said = self.said[print_] = self.heads.verdict(print_, self.reduced)
         return said
 
     def line_kinds(self, e: Edge) -> set[str]:
@@ -334,7 +362,7 @@ class Remover:
         """
         kinds: set[str] = set()
         asks: list[tuple[str, str]] = []
-        lines = _LINE.split(text)
+        lines = lines_of(text)
         if len(lines) > 1:
             gone = set()
             for e in edge_lines(lines):

@@ -41,9 +41,9 @@ _STRAY = re.compile(rf"(?<!\S)[{STRAY}]+(?!\S)")
 _BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]+)([{_HYPHENS}])(?:[ \t]*\n[ \t]*|[ \t]+)([^\W\d_]+)")
 _SOFT = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([‐­¬])()([^\W\d_]+)")
 _TOKEN = re.compile(r"\w+(?:[!|¡](?=[a-z])\w*)*|(?:[!|¡](?=[a-z])\w*)+")
-_MARKED = re.compile(rf"[{STRAY}]")
-_LINE_HYPHEN = re.compile(rf"[{_HYPHENS}]\s")
-_SIGN = re.compile(r"[‐­¬]")
+# one pattern a hyphen: what begins with one literal sign is looked for much faster than a class
+_LINE_HYPHENS = [(h, re.compile(rf"{h}\s")) for h in _HYPHENS]
+_SIGNS = "‐­¬"
 
 
 def take_apart(text: str, remover: Remover, doc: str | None = None, page: int | None = None, granted: frozenset = frozenset()) -> tuple[set[str], str, list[tuple[str, str, str]], list[tuple[str, str]]]:
@@ -63,9 +63,9 @@ def take_apart(text: str, remover: Remover, doc: str | None = None, page: int |
         return f"\x00{len(divided) - 1}\x00"
 
     body = body.strip().replace("\x00", " ")
-    if _LINE_HYPHEN.search(body):
+    if any(h in body and at_end.search(body) for h, at_end in _LINE_HYPHENS):
         body = _BROKEN.sub(slot, body)
-    if _SIGN.search(body):
+    if any(x in body for x in _SIGNS):
         body = _SOFT.sub(slot, body)
     return kinds, body, divided, asks
 
@@ -78,11 +78,16 @@ def _plain(body: str) -> str:
 
 
 def _forms(texts: DataFrame) -> DataFrame:
-    """(form, n): counts of word forms, of compounds written ``a-b`` within a line, and of signs that stand alone."""
-    words = F.regexp_extract_all("text", F.lit(rf"[\p{{L}}\p{{N}}_]+(?:[!|¡](?=[a-z])[\p{{L}}\p{{N}}_]*)*|(?:[!|¡](?=[a-z])[\p{{L}}\p{{N}}_]*)+|(?<!\S)[{STRAY}]+(?!\S)"), F.lit(0))
-    joined = F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))
-    forms = F.concat(words, F.when(F.contains("text", F.lit("-")), F.transform(joined, F.lower)).otherwise(F.array()))
-    return texts.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    """(form, n): counts of word forms, of compounds written ``a-b`` within a line, and of signs that stand alone.
+
+    A blank ends every form, so texts are divided at blanks first: each
+    distinct piece is taken apart once and counts as often as it was met.
+    """
+    pieces = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("piece")).groupBy("piece").agg(F.count("*").alias("k"))
+    words = F.regexp_extract_all("piece", F.lit(rf"[\p{{L}}\p{{N}}_]+(?:[!|¡](?=[a-z])[\p{{L}}\p{{N}}_]*)*|(?:[!|¡](?=[a-z])[\p{{L}}\p{{N}}_]*)+|(?<!\S)[{STRAY}]+(?!\S)"), F.lit(0))
+    joined = F.regexp_extract_all("piece", F.lit(r"(?<![\p{L}\p{N}-])\p{L}+-\p{L}+(?![\p{L}\p{N}-])"), F.lit(0))
+    forms = F.concat(words, F.when(F.contains("piece", F.lit("-")), F.transform(joined, F.lower)).otherwise(F.array()))
+    return pieces.select(F.explode(forms).alias("form"), "k").groupBy("form").agg(F.sum("k").alias("n"))
 
 
 def _anagram(form: Column) -> Column:
@@ -161,20 +166,46 @@ def misread_forms(forms: DataFrame, ratio: int = 12, least: int = 12, split_rati
     return every.groupBy("form").agg(best.alias("m")).select("form", F.col("m.f").alias("fixed"))
 
 
+class OpenWords:
+    """The words and lone signs of running texts that must be asked about; one per process.
+
+    Whitespace ends every word, so what a piece between blanks asks is found
+    once and kept.
+    """
+
+    def __init__(self, common: frozenset[str], most: int = 100_000):
+        self.common = common
+        self.most = most
+        self.settled: set[str] = set()  # pieces that ask nothing
+        self.asking: dict[str, list[str]] = {}
+
+    def of(self, plain: str) -> set[str]:
+        found: set[str] = set()
+        for piece in set(plain.split()) - self.settled:
+            asks = self.asking.get(piece)
+            if asks is None:
+                asks = [x for x in {*_TOKEN.findall(piece), *_STRAY.findall(piece)} if x not in self.common and not x.isdigit()]
+                if len(self.settled) + len(self.asking) >= self.most:
+                    self.settled.clear()
+                    self.asking.clear()
+                if asks:
+                    self.asking[piece] = asks
+                else:
+                    self.settled.add(piece)
+            found.update(asks)
+        return found
+
+
 def _asked(texts: DataFrame, common: frozenset[str], heads: Heads) -> DataFrame:
     """One row per open question of a text: (key, kind, ask): ``kind`` found already (ask null), or what must be asked."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remover = Remover(heads)
+        remover, words = Remover(heads), OpenWords(common)
         for b in batches:
             keys, kinds, asks = [], [], []
             for key, doc, page, t in zip(*(b.column(c).to_pylist() for c in ("key", "doc", "page", "text"))):
                 seen, body, divided, more = take_apart(t, remover, doc, page)
-                plain = _plain(body)
-                tokens = set(_TOKEN.findall(plain)) - common
-                if _MARKED.search(plain):
-                    tokens.update(_STRAY.findall(plain))
-                open_ = [("misread", x) for x in tokens if not x.isdigit()]
+                open_ = [("misread", x) for x in words.of(_plain(body) if divided else body)]
                 open_ += [("hyphenation", f"{x}-{y}".lower() + ("" if h == "-" else "!")) for x, h, y in divided]
                 open_ = list(dict.fromkeys(open_ + more))
                 keys += [key] * (len(seen) + len(open_))

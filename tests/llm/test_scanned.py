@@ -62,6 +62,39 @@ def test_forms(spark):
     assert got == {"di5trict": "district", "pr!nciple": "principle", "1O22": "1022", "Zolm0va": "Zolm0va", "•": ""}
 
 
+ODD = ["an in-law's pr!nciple\tof\r\nthe law¡", "a•b • c\u00a0• d\u2003\u3000~~", "in-law  in-law-s\nIn-Law 1O22 ¡x |", "", " ", "_ ^^ x²³ 12"]
+
+
+def test_forms_by_pieces(spark):
+    """Words are counted by the distinct pieces between blanks, as if each text had been searched whole."""
+    forms = S._forms(spark.createDataFrame([(t,) for t in ODD * 3], "text string"))
+    got = {r.form: r.n // 3 for r in forms.collect()}
+    want = {"in": 3, "law": 4, "s": 2, "pr!nciple": 1, "of": 1, "the": 1, "an": 1, "a": 1, "b": 1, "c": 1, "d": 1, "•": 1, "In": 1, "Law": 1, "1O22": 1, "¡x": 1, "|": 1, "_": 1, "^^": 1, "x²³": 1, "12": 1, "in-law": 3}
+    assert got == want
+    plan = forms._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.rindex("Aggregate")  # pieces are made one before the patterns see them
+
+
+def test_open_words(monkeypatch):
+    """What is asked of a text is what its patterns find in the whole of it; a piece met again is not searched again."""
+    searched = []
+
+    class Noted:
+        def findall(self, text):
+            searched.append(text)
+            return found(text)
+
+    found = S._TOKEN.findall
+    common = frozenset(["law", "the"])
+    want = [{x for x in found(t) if x not in common and not x.isdigit()} | set(S._STRAY.findall(t)) for t in ODD]
+    monkeypatch.setattr(S, "_TOKEN", Noted())
+    words = S.OpenWords(common)
+    assert [words.of(t) for t in ODD * 50] == want * 50
+    assert len(searched) == len(set(searched)) == len({x for t in ODD for x in t.split()})
+    few = S.OpenWords(common, 2)
+    assert [few.of(t) for t in ODD * 2] == want * 2 and len(few.settled) + len(few.asking) <= 2
+
+
 def corpus(spark, extra):
     rows = [(f"c{i}", PLAIN + f" It was recorded on {i} January that the order of the tribunal did not survive.", "x", None, None) for i in range(60)]
     rows += [(f"b{i}", t, "x", d, p) for i, (d, p, t) in enumerate(pages())]
